@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # the characters str.strip() removes
@@ -34,13 +34,21 @@ def strip(c: Column, chars: str = BLANKS) -> Column:
     return F.btrim(c, F.lit(chars))
 
 
-def not_blank(c: Column) -> Column:
-    return F.length(strip(c)) > 0
+def materialize(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once.
+
+    Exploding a one-element array is a stage the optimizer neither copies nor
+    pushes filters through, so costly columns used by later filters, sort keys and
+    projections are not evaluated again for each use.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    made = F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
+    return df.select(*keep, made)
 
 
 def drop_blank(pieces: Column) -> Column:
     """Trim every piece and drop the empty ones."""
-    return F.filter(F.transform(pieces, strip), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(pieces, lambda p: strip(p)), lambda p: F.length(p) > 0)
 
 
 def squeeze(c: Column) -> Column:

@@ -17,7 +17,7 @@ STRINGS = "array<string>"
 
 
 def paragraphs(c: Column, min_chars: int = 31) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?U)\n\s*\n"), strip), lambda p: F.length(p) >= min_chars)
+    return F.filter(F.transform(F.split(c, r"(?U)\n\s*\n"), lambda p: strip(p)), lambda p: F.length(p) >= min_chars)
 
 
 def sentences(c: Column) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, headings, segmenting
 from ..functions.columns import bind, drop_blank, lookup, strip, word_count
@@ -172,11 +173,12 @@ def viewer_bullets(df: DataFrame, n: int = 8, text: str = "text") -> DataFrame:
 
 
 def section_rows(df: DataFrame, map_col: str) -> DataFrame:
-    """Stored summary map (key -> list of lines) to display rows: fixed titles, else the key in title case."""
+    """Stored summary map (key -> text, or key -> lines) to display rows: fixed titles, else the key in title case."""
     keep = [c for c in df.columns if c != map_col]
+    of_lines = isinstance(df.schema[map_col].dataType.valueType, T.ArrayType)
     rows = df.select(*keep, F.explode(map_col).alias("key", "value"))
     rows = rows.filter(F.col("key") != fixed.HIDDEN_SECTION)
-    joined = strip(F.array_join(F.col("value"), "\n"))
+    content = F.array_join(F.col("value"), "\n") if of_lines else strip(F.col("value"))
     title = F.coalesce(lookup(fixed.SECTION_TITLES, F.col("key")), strip(F.initcap(F.replace(
         F.col("key"), F.lit("_"), F.lit(" ")))))
-    return rows.select(*keep, "key", title.alias("title"), joined.alias("content")).filter(F.length("content") > 0)
+    return rows.select(*keep, "key", title.alias("title"), content.alias("content")).filter(F.length("content") > 0)

@@ -26,4 +26,4 @@ def load_all() -> None:
         importlib.import_module(f"{__name__}.{family}")
 
 
-FAMILIES = ["cleaning"]
+FAMILIES = ["cleaning", "segments", "clauses"]
