@@ -65,17 +65,18 @@ def normalize_dates(mentions: DataFrame) -> DataFrame:
 # --- mentions in their text ---------------------------------------------------------------
 
 def beside_text(mentions: DataFrame, docs: DataFrame, made, text: str = "text") -> DataFrame:
-    """``made(mention, text)`` gives extra columns {name: Column}; each is evaluated next to the document's text."""
+    """``made(mention, text, lower_text)`` gives extra columns {name: Column}, evaluated next to the document's text."""
     fields = [c for c in mentions.columns if c != "doc_id"]
     packed = mentions.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_ms"))
     joined = packed.join(docs.select("doc_id", F.col(text).alias("_text")), "doc_id")
+    names = list(made(F.col("x"), F.col("y"), F.col("z")))
 
-    def enrich(m: Column, t: Column) -> Column:
-        extra = made(m, t)
+    def enrich(m: Column, low: Column) -> Column:
+        extra = made(m, F.col("_text"), low)
         return F.struct(*[m[f].alias(f) for f in fields if f not in extra], *[v.alias(k) for k, v in extra.items()])
 
-    rows = joined.select("doc_id", F.explode(F.transform("_ms", lambda m: enrich(m, F.col("_text")))).alias("_m"))
-    names = list(made(F.col("x"), F.col("y")))
+    made_rows = bind(F.lower("_text"), lambda low: F.transform("_ms", lambda m: enrich(m, low)))
+    rows = joined.select("doc_id", F.explode(made_rows).alias("_m"))
     return rows.select("doc_id", *[F.col(f"_m.{f}").alias(f) for f in fields if f not in names],
                        *[F.col(f"_m.{n}").alias(n) for n in names])
 
@@ -98,7 +99,7 @@ def _first_listed(text: Column, names: list[str]) -> Column:
 
 def assign_roles(mentions: DataFrame, docs: DataFrame, roles=fixed.ROLES, window: int = 80) -> DataFrame:
     """Adds ``role`` to parties: the first listed role in the mention's sentence, else within ``window`` characters."""
-    def made(m: Column, t: Column) -> dict[str, Column]:
+    def made(m: Column, t: Column, low: Column) -> dict[str, Column]:
         near = F.coalesce(
             bind(F.lower(_sentence_at(t, m["start_char"])), lambda s: _first_listed(s, roles)),
             bind(F.lower(_around(t, m["start_char"], m["end_char"], window)), lambda s: _first_listed(s, roles)))
@@ -108,7 +109,7 @@ def assign_roles(mentions: DataFrame, docs: DataFrame, roles=fixed.ROLES, window
 
 def money_context(mentions: DataFrame, docs: DataFrame, window: int = 60) -> DataFrame:
     """For money: the amount's digits, its kind from words nearby, and the phrase around it."""
-    def made(m: Column, t: Column) -> dict[str, Column]:
+    def made(m: Column, t: Column, low: Column) -> dict[str, Column]:
         money = m["bucket"] == "money"
         near = _around(t, m["start_char"], m["end_char"], window)
         quoted = F.substring(t, m["start_char"].cast("int") + 1, (m["end_char"] - m["start_char"]).cast("int"))
@@ -184,10 +185,9 @@ def parties_column(parties: DataFrame) -> DataFrame:
 
 # --- relations -----------------------------------------------------------------------------
 
-def _after_party(m: Column, t: Column, n: int) -> Column:
+def _after_party(m: Column, low: Column, n: int) -> Column:
     """Lower-case text from the party's first occurrence on; null when the name does not occur."""
-    return bind(F.lower(t), lambda low: bind(F.instr(low, F.lower(m["text"])), lambda p: F.when(
-        p > 0, F.substring(low, p, F.lit(n)))))
+    return bind(F.instr(low, F.lower(m["text"])), lambda p: F.when(p > 0, F.substring(low, p, F.lit(n))))
 
 
 def _parties(entities: DataFrame) -> DataFrame:
@@ -200,11 +200,11 @@ def _relations(df: DataFrame) -> DataFrame:
 
 def obligation_relations(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """Party and the first listed duty phrase within 150 characters, up to the sentence end (or offset 100)."""
-    def made(m: Column, t: Column) -> dict[str, Column]:
+    def made(m: Column, t: Column, low: Column) -> dict[str, Column]:
         def duty(s: Column) -> Column:
             at = first_of([(s.contains(p), F.instr(s, F.lit(p))) for p in fixed.DUTY_PHRASES])
             return bind(at, lambda a: F.when(a > 0, strip(_until_stop(s, a))))
-        return {"relation": bind(_after_party(m, t, 150), duty)}
+        return {"relation": bind(_after_party(m, low, 150), duty)}
     rows = beside_text(_parties(entities), docs, made).filter(F.col("relation").isNotNull())
     return _relations(rows.withColumns({"party": F.col("text"), "amount": F.lit(None).cast("string"),
                                         "type": F.lit("obligation"), "confidence": F.lit(0.75)}))
@@ -226,8 +226,8 @@ def purpose_relations(entities: DataFrame) -> DataFrame:
 
 def risk_relations(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """One row per party and risk phrase within 200 characters after it."""
-    def made(m: Column, t: Column) -> dict[str, Column]:
-        return {"phrases": bind(_after_party(m, t, 200), lambda s: F.filter(
+    def made(m: Column, t: Column, low: Column) -> dict[str, Column]:
+        return {"phrases": bind(_after_party(m, low, 200), lambda s: F.filter(
             F.array(*[F.lit(p) for p in fixed.RISK_PHRASES]), lambda p: s.contains(p)))}
     rows = beside_text(_parties(entities), docs, made).withColumn("phrase", F.explode("phrases"))
     return _relations(rows.withColumns({"party": F.col("text"), "amount": F.lit(None).cast("string"), "type": F.lit("risk"),
