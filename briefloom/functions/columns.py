@@ -46,6 +46,17 @@ def materialize(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*keep, made)
 
 
+def strip_prefixes(c: Column, prefixes: Sequence[str]) -> Column:
+    """Remove each listed prefix (case ignored) in list order, trimming after each."""
+    def without(prefix: str) -> Callable[[Column], Column]:
+        n = len(prefix)
+        return lambda x: F.when(F.lower(F.left(x, F.lit(n))) == prefix,
+                                strip(F.substring(x, n + 1, 2 ** 31 - 1))).otherwise(x)
+    for p in prefixes:
+        c = bind(c, without(p))
+    return c
+
+
 def drop_blank(pieces: Column) -> Column:
     """Trim every piece and drop the empty ones."""
     return F.filter(F.transform(pieces, lambda p: strip(p)), lambda p: F.length(p) > 0)

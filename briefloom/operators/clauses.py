@@ -8,7 +8,7 @@ bounds every group.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,34 +23,77 @@ ORDER = ["para_no", "pos"]
 
 # --- classification ---------------------------------------------------------------
 
-def _pattern_hits(low: Column, pattern: str) -> Column:
-    """Matches of one keyword pattern; texts without its leading letters skip the regex."""
-    hint = literal_hint(pattern)
-    n = count_matches(low, pattern)
-    return F.when(low.contains(hint), n).otherwise(0) if hint else n
+PREFIX_CHARS = 5
+
+
+def _sorted_rules(rules):
+    """Keyword patterns by the cheapest exact test: whole word, word prefix, or the regex itself."""
+    whole: dict[str, list] = {}
+    prefix: dict[str, list] = {}
+    regex = []
+    for t, (_, _, _, patterns) in enumerate(rules):
+        for p, pattern in enumerate(patterns):
+            if m := re.fullmatch(r"\\b([a-z]+)\\b", pattern):
+                whole.setdefault(m.group(1), []).append((t, p))
+            elif (m := re.fullmatch(r"\\b([a-z]+)", pattern)) and len(m.group(1)) >= PREFIX_CHARS:
+                prefix.setdefault(m.group(1)[:PREFIX_CHARS], []).append((t, p, m.group(1)))
+            else:
+                regex.append((t, p, pattern))
+    return whole, prefix, regex
 
 
 def type_scores(text: Column, rules=fixed.CLAUSE_TYPES) -> Column:
-    """array<struct<score, prefer, name, risk, weight>>, one entry per clause type."""
-    def scored(low: Column) -> Column:
-        entries = []
-        for i, (name, weight, risk, patterns) in enumerate(rules):
-            score = reduce(lambda acc, p: acc + _pattern_hits(low, p) * F.lit(float(weight)), patterns, F.lit(0.0))
-            entries.append(F.struct(score.alias("score"), F.lit(-i).alias("prefer"), F.lit(name).alias("name"),
-                                    F.lit(risk).alias("risk"), F.lit(float(weight)).alias("weight")))
-        return F.array_max(F.array(*entries))
-    return bind(F.lower(text), scored)
+    """struct<score, prefer, type> of the best clause type, null without any match.
+
+    The text is cut into words once. Single words and word prefixes are found by
+    hashing the words; only multi-word patterns run as regexes, and only on texts
+    holding their first letters. Each match is a (type, pattern) hit; a type's score
+    adds count x weight pattern by pattern.
+    """
+    whole, prefix, regex = _sorted_rules(rules)
+    hit = lambda t, p: F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"))
+    none = F.array().cast("array<struct<t:int,p:int>>")
+    weights = F.array(*[F.lit(float(r[1])) for r in rules])
+    whole_hits = F.create_map(*[x for w, tps in whole.items() for x in (F.lit(w), F.array(*[hit(t, p) for t, p in tps]))])
+    prefix_hits = F.create_map(*[x for k, tps in prefix.items() for x in (F.lit(k), F.array(*[
+        F.struct(hit(t, p).alias("h"), F.lit(full).alias("full")) for t, p, full in tps]))])
+
+    def by_word(w: Column) -> Column:
+        stems = F.filter(F.try_element_at(prefix_hits, F.left(w, F.lit(PREFIX_CHARS))), lambda x: w.startswith(x["full"]))
+        return F.concat(F.coalesce(F.try_element_at(whole_hits, w), none),
+                        F.coalesce(F.transform(stems, lambda x: x["h"]), none))
+
+    def by_regex(low: Column, t: int, p: int, pattern: str) -> Column:
+        found = F.array_repeat(hit(t, p), count_matches(low, pattern))
+        hint = literal_hint(pattern)
+        return F.when(low.contains(hint), found).otherwise(none) if hint else found
+
+    def score(hits: Column) -> Column:
+        def of_type(t: Column) -> Column:
+            mine = F.filter(hits, lambda h: h["t"] == t)
+            total = bind(mine, lambda ms: F.aggregate(
+                F.array_sort(F.array_distinct(ms)), F.lit(0.0),
+                lambda acc, h: acc + F.size(F.filter(ms, lambda m: m["p"] == h["p"])) * F.get(weights, t)))
+            return F.struct(total.alias("score"), (-t).alias("prefer"), t.alias("type"))
+        return F.array_max(F.transform(F.array_distinct(F.transform(hits, lambda h: h["t"])), of_type))
+
+    def best(low: Column) -> Column:
+        known = F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: w.isin(*whole) | F.left(w, F.lit(PREFIX_CHARS)).isin(*prefix))
+        hits = F.concat(F.flatten(F.transform(known, by_word)), *[by_regex(low, *r) for r in regex])
+        return bind(hits, score)
+
+    return bind(F.lower(text), best)
 
 
 def score_types(clauses: DataFrame, rules=fixed.CLAUSE_TYPES, text: str = CLAUSE) -> DataFrame:
     """Adds clause_type, confidence and the type's default risk; the highest score wins, first listed on ties."""
     df = materialize(clauses, {"_best": type_scores(F.col(text), rules)})
-    hit = F.col("_best.score") > 0
-    score = F.when(hit, F.col("_best.score")).otherwise(0.0)
+    of_best = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_best.type"))
+    score = F.coalesce(F.col("_best.score"), F.lit(0.0))
     return materialize(df, {
-        "clause_type": F.when(hit, F.col("_best.name")).otherwise(fixed.FALLBACK_TYPE),
+        "clause_type": F.coalesce(of_best([r[0] for r in rules]), F.lit(fixed.FALLBACK_TYPE)),
         "confidence": round_like_ieee(F.least(F.lit(0.98), F.lit(0.5) + score * 0.15)),
-        "default_risk": F.when(hit, F.col("_best.risk")).otherwise("low"),
+        "default_risk": F.coalesce(of_best([r[2] for r in rules]), F.lit("low")),
     }).drop("_best")
 
 
@@ -112,18 +155,25 @@ def responsible_party(clauses: DataFrame, parties: DataFrame | None = None, text
 
 # --- values and wording ---------------------------------------------------------------
 
-def _quoted(text: Column, patterns: list[str], n: int, min_chars: int) -> Column:
-    found = F.concat(*[F.transform(find_all(text, "(?i)" + p), lambda v: strip(v)) for p in patterns])
-    return F.slice(F.array_distinct(F.filter(found, lambda v: F.length(v) >= min_chars)), 1, n)
+def _quoted(text: Column, patterns: list[str], needs: list[list[str]], n: int, min_chars: int) -> Column:
+    """Distinct matches in order of pattern, then position; a pattern runs only where one of its ``needs`` occurs."""
+    def found(low: Column) -> Column:
+        every = F.concat(*[F.when(contains_any(low, words), F.transform(find_all(text, "(?i)" + p), lambda v: strip(v)))
+                           .otherwise(F.array().cast("array<string>")) for p, words in zip(patterns, needs)])
+        return F.slice(F.array_distinct(F.filter(every, lambda v: F.length(v) >= min_chars)), 1, n)
+    return bind(F.lower(text), found)
 
 
 def clause_amounts(clauses: DataFrame, n: int = 5, text: str = CLAUSE) -> DataFrame:
-    """Distinct amounts in order of pattern, then position; first ``n``."""
-    return materialize(clauses, {"financial_values": _quoted(F.col(text), fixed.AMOUNT_PATTERNS, n, 2)})
+    """Adds the first ``n`` amounts quoted in the clause."""
+    needs = [["rs", "inr", "₹"], [","], ["%"]]
+    return materialize(clauses, {"financial_values": _quoted(F.col(text), fixed.AMOUNT_PATTERNS, needs, n, 2)})
 
 
 def clause_deadlines(clauses: DataFrame, n: int = 4, text: str = CLAUSE) -> DataFrame:
-    return materialize(clauses, {"deadlines": _quoted(F.col(text), fixed.DEADLINE_PATTERNS, n, 1)})
+    """Adds the first ``n`` deadlines quoted in the clause."""
+    needs = [["within"], ["day", "month", "year", "week"], ["before", "by"], ["commencement", "expiry", "completion"]]
+    return materialize(clauses, {"deadlines": _quoted(F.col(text), fixed.DEADLINE_PATTERNS, needs, n, 1)})
 
 
 def clause_title(clauses: DataFrame, text: str = CLAUSE) -> DataFrame:

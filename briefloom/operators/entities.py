@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import bind, contains_any, first_of, lookup, match_spans, materialize, squeeze, strip
+from ..functions.columns import bind, contains_any, first_of, lookup, match_spans, materialize, squeeze, strip, strip_prefixes
 
 ENTITY = ["doc_id", "bucket", "text", "confidence", "start_char", "end_char", "role", "money_type", "context", "source"]
 
@@ -21,10 +21,7 @@ ENTITY = ["doc_id", "bucket", "text", "confidence", "start_char", "end_char", "r
 
 def clean_mention(c: Column, prefixes=fixed.MENTION_PREFIXES) -> Column:
     """Strip listed prefixes in list order, then one closing colon, semicolon or comma."""
-    t = strip(c)
-    for p in prefixes:
-        t = bind(t, lambda x, p=p: F.when(F.lower(F.left(x, F.lit(len(p)))) == p, strip(F.substring(x, len(p) + 1, 2 ** 31 - 1))).otherwise(x))
-    return F.regexp_replace(t, r"[:;,]$", "")
+    return F.regexp_replace(strip_prefixes(strip(c), prefixes), r"[:;,]$", "")
 
 
 def bucket_mentions(mentions: DataFrame) -> DataFrame:
@@ -113,7 +110,7 @@ def money_context(mentions: DataFrame, docs: DataFrame, window: int = 60) -> Dat
         money = m["bucket"] == "money"
         near = _around(t, m["start_char"], m["end_char"], window)
         quoted = F.substring(t, m["start_char"].cast("int") + 1, (m["end_char"] - m["start_char"]).cast("int"))
-        phrase = F.regexp_extract(near, F.concat(F.lit(r"[^.;]*\Q"), quoted, F.lit(r"\E[^.;]*")), F.lit(0))
+        phrase = F.regexp_substr(near, F.concat(F.lit(r"[^.;]*\Q"), quoted, F.lit(r"\E[^.;]*")))
         kind = bind(F.lower(near), lambda s: F.coalesce(_first_listed(s, fixed.MONEY_TYPES), F.lit("amount")))
         return {"money_type": F.when(money, kind), "context": F.when(money, strip(phrase)),
                 "text": F.when(money, F.regexp_replace(m["text"], r"(?U)[^\d.]", "")).otherwise(m["text"])}
@@ -124,10 +121,12 @@ def money_context(mentions: DataFrame, docs: DataFrame, window: int = 60) -> Dat
 
 def pattern_entities(docs: DataFrame, rules=fixed.ENTITY_PATTERNS, text: str = "text") -> DataFrame:
     """Entities found by fixed patterns, with their character spans in the text."""
-    t = F.col(text)
-    found = F.flatten(F.array(*[F.transform(match_spans(t, "(?i)" + p), lambda s, b=b: F.struct(
-        F.lit(b).alias("bucket"), s["start_char"].cast("long").alias("start_char"), s["end_char"].cast("long").alias("end_char"),
-        clean_mention(s["text"]).alias("text"))) for b, p in rules]))
+    def spans(bucket: str, pattern: str) -> Column:
+        return F.transform(match_spans(F.col(text), "(?i)" + pattern), lambda s: F.struct(
+            F.lit(bucket).alias("bucket"), s["start_char"].cast("long").alias("start_char"),
+            s["end_char"].cast("long").alias("end_char"), clean_mention(s["text"]).alias("text")))
+
+    found = F.concat(*[spans(b, p) for b, p in rules])
     rows = docs.select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.*")
     rows = rows.filter(~F.lower("text").isin(*fixed.GENERIC_WORDS))
     null = F.lit(None).cast("string")

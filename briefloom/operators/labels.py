@@ -97,7 +97,7 @@ def normalize_severity(df: DataFrame, column: str, default: str = "low") -> Data
 def score_bands(df: DataFrame, column: str) -> DataFrame:
     """Documents per safety band; scores are rounded half up and clamped to 0..100."""
     score = F.expr(f"try_cast(`{column}` AS DOUBLE)")
-    score = F.when(~F.isnan(score), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(score + 0.5))))
+    score = F.when(score.isNotNull() & ~F.isnan(score), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(score + 0.5))))
     band = F.when(score.isNull(), "Unknown").when(score >= 70, "Low Risk").when(score >= 40, "Moderate Risk").otherwise("High Risk")
     return df.select(band.alias("band")).groupBy("band").agg(F.count("*").alias("n"))
 

@@ -10,24 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import bind, find_all, first_of, materialize, strip
+from ..functions.columns import bind, find_all, first_of, materialize, strip, strip_prefixes
 from .entities import beside_text, normalize_date
 
 
-def _strip_prefixes(c: Column) -> Column:
-    for p in fixed.REVIEW_PREFIXES:
-        c = bind(c, lambda x, p=p: F.when(F.lower(F.left(x, F.lit(len(p)))) == p, strip(
-            F.substring(x, len(p) + 1, 2 ** 31 - 1))).otherwise(x))
-    return c
-
-
 def filter_mentions(mentions: DataFrame) -> DataFrame:
     """Drop generic, short and number-only mentions; first mention per document, cleaned text and label."""
     t, low = strip(F.col("text")), F.lower(strip(F.col("text")))
     numeric = t.rlike(r"(?U)^[\d\s\.,]+$") & ~F.col("label").isin("DATE", "MONEY", "LAW")
     short = (F.length(t) < 3) & ~F.col("label").isin("DATE", "MONEY")
     kept = mentions.filter(~low.isin(*fixed.REVIEW_GENERIC_WORDS) & ~numeric & ~short)
-    kept = materialize(kept.withColumn("original", F.col("text")), {"text": _strip_prefixes(F.col("text"))})
+    kept = materialize(kept.withColumn("original", F.col("text")), {"text": strip_prefixes(F.col("text"), fixed.REVIEW_PREFIXES)})
     w = Window.partitionBy("doc_id", "label", F.lower("text")).orderBy("start_char", "original")
     return kept.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
