@@ -94,39 +94,53 @@ def _first_listed(text: Column, names: list[str]) -> Column:
     return first_of([(text.contains(n.lower()), n) for n in names])
 
 
+def _role_near(m: Column, t: Column, roles, window: int) -> dict[str, Column]:
+    near = F.coalesce(
+        bind(F.lower(_sentence_at(t, m["start_char"])), lambda s: _first_listed(s, roles)),
+        bind(F.lower(_around(t, m["start_char"], m["end_char"], window)), lambda s: _first_listed(s, roles)))
+    return {"role": F.when(m["bucket"] == "parties", near)}
+
+
+def _money_near(m: Column, t: Column, window: int) -> dict[str, Column]:
+    money = m["bucket"] == "money"
+    near = _around(t, m["start_char"], m["end_char"], window)
+    quoted = F.substring(t, m["start_char"].cast("int") + 1, (m["end_char"] - m["start_char"]).cast("int"))
+    phrase = F.regexp_substr(near, F.concat(F.lit(r"[^.;]*\Q"), quoted, F.lit(r"\E[^.;]*")))
+    kind = bind(F.lower(near), lambda s: F.coalesce(_first_listed(s, fixed.MONEY_TYPES), F.lit("amount")))
+    return {"money_type": F.when(money, kind), "context": F.when(money, strip(phrase)),
+            "text": F.when(money, F.regexp_replace(m["text"], r"(?U)[^\d.]", "")).otherwise(m["text"])}
+
+
 def assign_roles(mentions: DataFrame, docs: DataFrame, roles=fixed.ROLES, window: int = 80) -> DataFrame:
     """Adds ``role`` to parties: the first listed role in the mention's sentence, else within ``window`` characters."""
-    def made(m: Column, t: Column, low: Column) -> dict[str, Column]:
-        near = F.coalesce(
-            bind(F.lower(_sentence_at(t, m["start_char"])), lambda s: _first_listed(s, roles)),
-            bind(F.lower(_around(t, m["start_char"], m["end_char"], window)), lambda s: _first_listed(s, roles)))
-        return {"role": F.when(m["bucket"] == "parties", near)}
-    return beside_text(mentions, docs, made)
+    return beside_text(mentions, docs, lambda m, t, low: _role_near(m, t, roles, window))
 
 
 def money_context(mentions: DataFrame, docs: DataFrame, window: int = 60) -> DataFrame:
     """For money: the amount's digits, its kind from words nearby, and the phrase around it."""
-    def made(m: Column, t: Column, low: Column) -> dict[str, Column]:
-        money = m["bucket"] == "money"
-        near = _around(t, m["start_char"], m["end_char"], window)
-        quoted = F.substring(t, m["start_char"].cast("int") + 1, (m["end_char"] - m["start_char"]).cast("int"))
-        phrase = F.regexp_substr(near, F.concat(F.lit(r"[^.;]*\Q"), quoted, F.lit(r"\E[^.;]*")))
-        kind = bind(F.lower(near), lambda s: F.coalesce(_first_listed(s, fixed.MONEY_TYPES), F.lit("amount")))
-        return {"money_type": F.when(money, kind), "context": F.when(money, strip(phrase)),
-                "text": F.when(money, F.regexp_replace(m["text"], r"(?U)[^\d.]", "")).otherwise(m["text"])}
-    return beside_text(mentions, docs, made)
+    return beside_text(mentions, docs, lambda m, t, low: _money_near(m, t, window))
 
 
 # --- entities ------------------------------------------------------------------------------
 
 def pattern_entities(docs: DataFrame, rules=fixed.ENTITY_PATTERNS, text: str = "text") -> DataFrame:
     """Entities found by fixed patterns, with their character spans in the text."""
+    none = F.array().cast("array<struct<bucket:string,start_char:bigint,end_char:bigint,text:string>>")
+
     def spans(bucket: str, pattern: str) -> Column:
         return F.transform(match_spans(F.col(text), "(?i)" + pattern), lambda s: F.struct(
             F.lit(bucket).alias("bucket"), s["start_char"].cast("long").alias("start_char"),
             s["end_char"].cast("long").alias("end_char"), clean_mention(s["text"]).alias("text")))
 
-    found = F.concat(*[spans(b, p) for b, p in rules])
+    def gated(low: Column, bucket: str, pattern: str) -> Column:
+        found = spans(bucket, pattern)
+        if (bucket, pattern) not in fixed.ENTITY_PATTERNS:
+            return found
+        if bucket == "legal_references":  # its last alternative rescans a whole phrase from every letter
+            found = F.when(low.contains("act"), found).otherwise(spans(bucket, fixed.SECTION_REFERENCES))
+        return F.when(contains_any(low, fixed.ENTITY_PATTERN_WORDS[bucket]), found).otherwise(none)
+
+    found = bind(F.lower(text), lambda low: F.concat(*[gated(low, b, p) for b, p in rules]))
     rows = docs.select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.*")
     rows = rows.filter(~F.lower("text").isin(*fixed.GENERIC_WORDS))
     null = F.lit(None).cast("string")
@@ -138,7 +152,8 @@ def model_entities(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     """Entities from model mentions (doc_id, label, text, start_char, end_char)."""
     df = rebucket_legal(clean_mentions(bucket_mentions(mentions)))
     df = df.withColumns({"source": F.lit("model"), "_named": (F.length("text") > 5) & ~F.col("text").rlike(r"(?U)\d")})
-    df = money_context(assign_roles(normalize_dates(df), docs), docs)
+    df = beside_text(normalize_dates(df), docs, lambda m, t, low: {
+        **_role_near(m, t, fixed.ROLES, 80), **_money_near(m, t, 60)})
     base = F.least(F.lit(0.99), F.lit(0.85) + F.when(F.col("_named"), 0.03).otherwise(0.0))
     df = df.withColumn("confidence", F.round(base + F.when(F.col("role").isNotNull(), 0.05).otherwise(0.0), 2))
     return df.select(*ENTITY)

@@ -26,4 +26,4 @@ def load_all() -> None:
         importlib.import_module(f"{__name__}.{family}")
 
 
-FAMILIES = ["cleaning", "segments", "clauses", "labels", "entities", "risks", "retrieval"]
+FAMILIES = ["cleaning", "segments", "clauses", "labels", "entities", "risks", "retrieval", "tables", "streams"]

@@ -168,17 +168,23 @@ def group_summary(spark, d):
     return op.group_summary(ranked(spark, d))
 
 
-@query("supplement_groups_g4", with_views("ranked", """
+# arbitration and jurisdiction clauses count as plain obligations here, so that documents have unfeatured paragraphs
+_PLAIN = "CASE WHEN clause_type IN ('arbitration', 'jurisdiction') THEN 'obligation' ELSE clause_type END"
+view("plainer", f"SELECT * REPLACE ({_PLAIN} AS clause_type, CASE WHEN clause_type IN ('arbitration', 'jurisdiction') THEN 'protections' ELSE category END AS category) FROM ranked", ["ranked"])
+
+
+@query("supplement_groups_g4", with_views("plainer", f"""
 SELECT doc_id, category, list(summary ORDER BY importance_score DESC, r2)[1] AS summary, count(*) AS source_count,
  list(importance_label ORDER BY importance_score DESC, r2)[1] AS importance_label
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY crit, importance_score DESC, rank) AS r2 FROM (
-SELECT *, %s AS crit, len(list_distinct(list(CASE WHEN clause_type <> 'obligation' THEN category END) OVER (PARTITION BY doc_id))) AS n_cats,
-  list(CASE WHEN clause_type <> 'obligation' THEN category END) OVER (PARTITION BY doc_id) AS cats,
-  max(clause_type <> 'obligation') OVER (PARTITION BY doc_id, paragraph) AS featured FROM ranked)
+SELECT *, {_critical} AS crit, coalesce(len(list_distinct(list_filter(cats0, lambda x: x IS NOT NULL))), 0) AS n_cats, cats0 AS cats FROM (
+SELECT *, list(CASE WHEN clause_type <> 'obligation' THEN category END) OVER (PARTITION BY doc_id) AS cats0,
+  max(clause_type <> 'obligation') OVER (PARTITION BY doc_id, paragraph) AS featured FROM plainer))
 WHERE n_cats < 5 AND NOT featured AND NOT coalesce(list_contains(cats, category), false))
-GROUP BY doc_id, category""" % _critical))
+GROUP BY doc_id, category"""))
 def supplement_groups(spark, d):
-    return op.supplement_groups(ranked(spark, d)).select("doc_id", "category", "summary", "source_count", "importance_label")
+    rows = ranked(spark, d).withColumn("clause_type", F.expr(_PLAIN))
+    return op.supplement_groups(rows).select("doc_id", "category", "summary", "source_count", "importance_label")
 
 
 @query("category_counts_g8", with_views("groups", f"""

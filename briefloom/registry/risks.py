@@ -34,7 +34,7 @@ def norm_risks(spark, d):
 
 # --- answers
 view("answer_items", """SELECT doc_id, unnest(from_json(raw, '[{"title":"VARCHAR","severity":"VARCHAR","description":"VARCHAR","clause_reference":"VARCHAR"}]')) AS r,
- unnest(range(json_array_length(raw))) AS seq FROM responses WHERE json_valid(raw)""", ["responses"])
+ unnest(range(CAST(json_array_length(raw) AS BIGINT))) AS seq FROM responses WHERE json_valid(raw)""", ["responses"])
 
 
 @query("parse_responses_j1", with_views("responses", """

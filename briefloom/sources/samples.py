@@ -45,7 +45,8 @@ SELECT doc_id, document_type, trim(regexp_replace(text, '\s+', ' '{g})) AS text
 
 MENTION_ROWS = [("PERSON", "the Lessor Rajesh Kumar"), ("PERSON", "Asha Menon"), ("ORG", "First Bank"),
                 ("ORG", "Contract Act"), ("PERSON", "Ravi Kumar"), ("GPE", "Bengaluru"), ("MONEY", "Rs. 1,50,000"),
-                ("DATE", "30 days"), ("DATE", "expiry"), ("LAW", "Section 12"), ("CARDINAL", "60")]
+                ("DATE", "30 days"), ("DATE", "expiry"), ("LAW", "Section 12"), ("CARDINAL", "60"),
+                ("ORG", "hold harmless the Lessor")]
 _VALUES = ", ".join(f"('{a}', '{b}')" for a, b in MENTION_ROWS)
 # model output stand-in: fixed names located in every text, plus the dated amount of each contract
 MENTIONS = f"""
