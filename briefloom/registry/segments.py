@@ -213,7 +213,22 @@ HEADED = ("concat('Opening words.\n## Financial Obligations\nRent is ', doc_id,
           "1. Key Terms and Conditions\nTerm of one year.\nFinancial Obligations\nRent again ', doc_id, '.')")
 
 
-@query("headed_text_c17")
+def _headed_rows() -> str:
+    """Expected parts of HEADED per document type; # stands for the document id."""
+    lead, rent, law, terms, again = "Opening words.", "Rent is #.", "Court rules.", "Term of one year.", "Rent again #."
+    full = f"{lead}\n## Financial Obligations\n{rent}\n\n**Legal Clauses**\n{law}\n1. Key Terms and Conditions\n{terms}\nFinancial Obligations\n{again}"
+    law_only = [("executive_summary", f"{lead}\n## Financial Obligations\n{rent}"),
+                ("legal_clauses", f"{law}\n1. Key Terms and Conditions\n{terms}\nFinancial Obligations\n{again}")]
+    all_heads = [("executive_summary", lead), ("key_terms_and_conditions", terms), ("financial_obligations", again), ("legal_clauses", law)]
+    parts = {"contract": [("executive_summary", lead), ("financial_obligations", again), ("legal_clauses", f"{law}\n1. Key Terms and Conditions\n{terms}")],
+             "property": law_only, "insurance": law_only, "court_judgment": [("executive_summary", full)], "financial": all_heads, "general": all_heads}
+    rows = [(t, n, k, c) for t, ps in parts.items() for n, (k, c) in enumerate(ps)]
+    return ", ".join(f"({text(t)}, CAST({n} AS BIGINT), {text(k)}, {text(c)})" for t, n, k, c in rows)
+
+
+@query("headed_text_c17", with_views("contract_text", f"""
+SELECT doc_id, document_type, p.part_no, p.key, replace(p.content, '#.', doc_id || '.') AS content
+FROM contract_text JOIN (VALUES {_headed_rows()}) p(kind, part_no, key, content) ON kind = document_type"""))
 def headed_text(spark, d):
     docs = samples.contract_text(spark, d).withColumn("text", F.expr(HEADED.replace("\n", "\\n")))
     return longs(op.parse_headed_text(docs, "document_type"), "part_no")
@@ -251,6 +266,11 @@ def summary_route(spark, d):
     return op.summary_route(docs, 800, "doc_type").select("doc_id", "route", "chunker")
 
 
+@query("route_chunks_c18")
+def route_chunks(spark, d):
+    return op.route_chunks(samples.contract_text(spark, d), 110, 60, "document_type")
+
+
 @query("bullets_c19", f"""
 SELECT doc_id, array_to_string(({d_pieces(f"regexp_split_to_array({strip('text')}, '[.!?]' || chr(92) || 's+')")})[1:12], chr(10)) AS bullets,
   array_to_string(({d_sentences_raw('text')})[1:8], chr(10)) AS viewer_bullets FROM documents""")

@@ -7,6 +7,7 @@ start from the same rows. Every view covers its whole base table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -129,7 +130,15 @@ def flat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, MENTIONS, flat_text=flat_text(spark, sf_dir))
+    """The rows of ``MENTIONS``, each text read once: names are looked up in the row instead of joined to it."""
+    text = F.col("text")
+    named = [F.struct(F.lit(label).alias("label"), F.lit(mention).alias("mention")) for label, mention in MENTION_ROWS]
+    found = F.array(*named, F.struct(F.lit("DATE").alias("label"), F.regexp_extract(text, "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0).alias("mention")),
+                    F.struct(F.lit("MONEY").alias("label"), F.regexp_extract(text, "Rs. [0-9]+ ", 0).alias("mention")))
+    rows = flat_text(spark, sf_dir).select("doc_id", "text", F.inline(found)).withColumn(
+        "start_char", F.instr(text, F.col("mention")).cast("long") - 1).filter("start_char >= 0")
+    return rows.select("doc_id", "label", F.col("mention").alias("text"), "start_char",
+                       (F.col("start_char") + F.length("mention")).alias("end_char"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
