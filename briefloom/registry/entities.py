@@ -48,7 +48,7 @@ view("placed", f"""SELECT m.*, t.text AS doc, lower(substr(t.text, CAST(greatest
  lower(string_split(regexp_replace(left(t.text, start_char), '[.!?]\\s+', chr(1), 'g'), chr(1))[-1] || string_split(regexp_replace(substr(t.text, start_char + 1), '[.!?]\\s', chr(1), 'g'), chr(1))[1]) AS sentence
 FROM dated m JOIN flat_text t ON t.doc_id = m.doc_id""", ["dated", "flat_text"])
 view("model_entities", f"""SELECT doc_id, bucket, text, start_char, end_char, role, money_type, context, 'model' AS source,
-  round(least(0.99, 0.85 + CASE WHEN named THEN 0.03 ELSE 0 END) + CASE WHEN role IS NOT NULL THEN 0.05 ELSE 0 END, 2) AS confidence
+  CAST(round(least(0.99, 0.85 + CASE WHEN named THEN 0.03 ELSE 0 END) + CASE WHEN role IS NOT NULL THEN 0.05 ELSE 0 END, 2) AS DOUBLE) AS confidence
 FROM (SELECT doc_id, bucket, start_char, end_char, named, CASE WHEN bucket = 'money' THEN regexp_replace(text, '[^\\d.]', '', 'g') ELSE text END AS text,
   CASE WHEN bucket = 'parties' THEN coalesce({d_first('sentence', fixed.ROLES)}, {d_first('near80', fixed.ROLES)}) END AS role,
   CASE WHEN bucket = 'money' THEN {d_first('lower(near60)', fixed.MONEY_TYPES, text('amount'))} END AS money_type,
@@ -59,7 +59,7 @@ _pattern_union = " UNION ALL ".join(
     for i, (b, p) in enumerate(fixed.ENTITY_PATTERNS))
 view("pattern_hits", f"""SELECT doc_id, bucket, regexp_replace(c, '[:;,]$', '') AS text FROM ({d_prefix_chain(f'({_pattern_union})', 'raw', fixed.MENTION_PREFIXES, 'doc_id, bucket')})""",
      ["flat_text"])
-view("pattern_entities", f"""SELECT doc_id, bucket, text, round(least(0.99, 0.92 + CASE WHEN length(text) > 5 AND NOT regexp_matches(text, '\\d') THEN 0.03 ELSE 0 END), 2) AS confidence
+view("pattern_entities", f"""SELECT doc_id, bucket, text, CAST(round(least(0.99, 0.92 + CASE WHEN length(text) > 5 AND NOT regexp_matches(text, '\\d') THEN 0.03 ELSE 0 END), 2) AS DOUBLE) AS confidence
 FROM pattern_hits WHERE lower(text) NOT IN ({_list(fixed.GENERIC_WORDS)})""", ["pattern_hits"])
 view("entities", """SELECT *, CASE WHEN role IS NOT NULL THEN text || ' (' || role || ')' WHEN bucket = 'money' THEN text || ' (' || money_type || ')' ELSE text END AS display
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, bucket, lower(text) ORDER BY source, start_char) AS rn FROM (

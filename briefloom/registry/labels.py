@@ -55,7 +55,7 @@ def subtype(spark, d):
 
 
 @query("question_intent_d13", with_views("questions", f"""
-SELECT intent, count(*) AS n, sum(query_id % 1000) AS id_sum FROM (SELECT query_id, CASE WHEN regexp_matches(q, {text(fixed.GREETING)}, 'i') THEN 'greeting'
+SELECT intent, count(*) AS n, CAST(sum(query_id % 1000) AS BIGINT) AS id_sum FROM (SELECT query_id, CASE WHEN regexp_matches(q, {text(fixed.GREETING)}, 'i') THEN 'greeting'
  WHEN regexp_matches(q, {text(fixed.HELP)}, 'i') THEN 'help' WHEN regexp_matches(q, {text(fixed.OFF_TOPIC)}, 'i') THEN 'off_topic'
  WHEN regexp_matches(q, {text(fixed.LOOKUP)}, 'i') THEN 'entity_lookup' WHEN regexp_matches(q, {text(fixed.ENTITY_LIST)}, 'i') THEN 'entity_query'
  WHEN {any_of('lower(q)', fixed.ANALYSIS_WORDS)} THEN 'legal_analysis' ELSE 'document_qa' END AS intent

@@ -38,10 +38,10 @@ view("answer_items", """SELECT doc_id, unnest(from_json(raw, '[{"title":"VARCHAR
 
 
 @query("parse_responses_j1", with_views("responses", """
-SELECT doc_id, CASE WHEN NOT json_valid(raw) THEN 'Invalid LLM JSON output' END AS failure, CASE WHEN json_valid(raw) THEN CAST(json_array_length(raw) AS BIGINT) END AS n FROM responses"""))
+SELECT doc_id, CASE WHEN NOT json_valid(raw) THEN 'Invalid LLM JSON output' END AS failure, CASE WHEN json_valid(raw) THEN CAST(json_array_length(raw) AS BIGINT) ELSE -1 END AS n FROM responses"""))
 def parse_responses(spark, d):
     parsed = op.parse_responses(samples.responses(spark, d))
-    return parsed.select("doc_id", "failure", F.when(F.col("items").isNotNull(), F.size("items")).cast("long").alias("n"))
+    return parsed.select("doc_id", "failure", F.when(F.col("items").isNotNull(), F.size("items")).otherwise(-1).cast("long").alias("n"))
 
 
 @query("risk_rows_j2", with_views("answer_items", """

@@ -125,7 +125,7 @@ def cascade_delete(spark, d):
     return op.cascade_delete({"orders": orders, "lineitem": lines}, orders.filter("o_orderpriority = '1-URGENT'"))[1]
 
 
-@query("left_after_delete_a11", """SELECT count(*) AS n, sum(l_orderkey) AS key_sum FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+@query("left_after_delete_a11", """SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS key_sum FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def left_after_delete(spark, d):
     orders = table(spark, d, "orders").withColumnRenamed("o_orderkey", "doc_id")
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
