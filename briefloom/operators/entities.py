@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import bind, contains_any, first_of, lookup, match_spans, materialize, squeeze, strip, strip_prefixes
+from ..plans.placement import place_by
 
 ENTITY = ["doc_id", "bucket", "text", "confidence", "start_char", "end_char", "role", "money_type", "context", "source"]
 
@@ -64,8 +65,8 @@ def normalize_dates(mentions: DataFrame) -> DataFrame:
 def beside_text(mentions: DataFrame, docs: DataFrame, made, text: str = "text") -> DataFrame:
     """``made(mention, text, lower_text)`` gives extra columns {name: Column}, evaluated next to the document's text."""
     fields = [c for c in mentions.columns if c != "doc_id"]
-    packed = mentions.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_ms"))
-    joined = packed.join(docs.select("doc_id", F.col(text).alias("_text")), "doc_id")
+    packed = place_by(mentions, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_ms"))
+    joined = packed.join(place_by(docs.select("doc_id", F.col(text).alias("_text")), "doc_id"), "doc_id")
     names = list(made(F.col("x"), F.col("y"), F.col("z")))
 
     def enrich(m: Column, low: Column) -> Column:
