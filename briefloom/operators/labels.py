@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import bind, contains_any, lookup, materialize, strip
+from ..functions.columns import bind, contains_any, count_matches, lookup, materialize, strip
 
 
 def _key(column: str) -> Column:
@@ -130,6 +130,19 @@ def risk_dimensions(risks: DataFrame) -> DataFrame:
         level("liability", "high"), level("termination", "high"), level("compliance", "medium"), level("operational", "medium"))
 
 
+def apply_rules(df: DataFrame, rules: list[tuple[str, str]], text: str = "text") -> DataFrame:
+    """One row per text and matching rule (rule, n matches), case ignored.
+
+    Every (name, pattern) becomes a literal expression of the row: no rule table is
+    joined, and only rules that match become rows.
+    """
+    def counted(low: Column) -> Column:
+        every = F.array(*[F.struct(F.lit(name).alias("rule"), count_matches(low, pattern).cast("long").alias("n"))
+                          for name, pattern in rules])
+        return F.filter(every, lambda x: x["n"] > 0)
+    return df.select("*", F.inline(bind(F.lower(text), counted)))
+
+
 def search_library(df: DataFrame, text: str = "", kind: str = "all", name: str = "document_name",
                    type_col: str = "document_type") -> DataFrame:
     q = text.strip().lower()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import clauses as op
+from ..operators import labels as label_op
 from ..plans import briefing as plan
 from ..plans.placement import place_by
 from ..sources import samples
@@ -194,6 +195,17 @@ def category_counts(spark, d):
     return op.category_counts(op.insight_groups(ranked(spark, d)))
 
 
+_FIRST_PATTERNS = [(name, patterns[0]) for name, _, _, patterns in RULES]
+
+
+@query("apply_rules_f12", with_views("paragraphs", " UNION ALL ".join(
+    f"SELECT doc_id, para_no, '{n}' AS rule, CAST(len(regexp_extract_all(lower(paragraph), {text(p)})) AS BIGINT) AS n FROM paragraphs "
+    f"WHERE regexp_matches(lower(paragraph), {text(p)})" for n, p in _FIRST_PATTERNS)))
+def apply_rules(spark, d):
+    rows = contract_paragraphs(spark, d).select("doc_id", "para_no", "paragraph")
+    return label_op.apply_rules(rows, _FIRST_PATTERNS, "paragraph").drop("paragraph")
+
+
 @query("contract_briefing", with_views("groups", "SELECT doc_id, category, importance_label, risk_level, source_count, financial_values, deadlines, key_risks, responsible_parties, summary FROM groups"))
 def contract_briefing(spark, d):
     return flat_groups(op.insight_groups(ranked(spark, d))).drop("label", "group_no")
