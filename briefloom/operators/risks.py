@@ -130,7 +130,7 @@ def distinct_risks(docs: DataFrame, risks: DataFrame, status: str = "processing_
     through the whole corpus arrives as one row per task.
     """
     done = docs.filter(is_final(status)).select("doc_id")
-    found = risks.join(done, "doc_id", "left_semi").withColumn("signature", risk_signature()).filter(F.length("signature") > 0)
+    found = materialize(risks.join(done, "doc_id", "left_semi"), {"signature": risk_signature()}).filter(F.length("signature") > 0)
     return found.groupBy("signature").agg(F.min_by("severity", F.struct("doc_id", "seq")).alias("severity"))
 
 

@@ -155,4 +155,5 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, RISKS, lineitem=table(spark, sf_dir, "lineitem"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    return _sql(spark, RISKS, lineitem=spread(lines))
