@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm import exact, fingerprints, htmlmain, jaccard, mixing, packing, secret_scan, sharding, toxicity
+import corpus_pipeline
+from briefloom.llm import exact, fingerprints, htmlmain, jaccard, mixing, packing, paragraphs, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +79,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query("op5_repeated_passages")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op6_jaccard_forest")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
@@ -133,3 +139,8 @@ JOIN slots s ON s.slot = d.slot
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARD_NAMES)
     return placed.select("doc_id", "slot", "shard")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -144,13 +144,13 @@ class ToxicityModel:
         out = self.trees.transform(self.assemble(rows))
         return out.withColumn("margin", vector_to_array("rawPrediction")[1])
 
-    def score(self, docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-        """``id_cols, score, predicted`` for each row of ``docs``, from the text alone."""
+    def score(self, docs: DataFrame, id_cols: list[str], text_col: str = "text", keep_text: bool = False) -> DataFrame:
+        """``id_cols, score, predicted`` for each row of ``docs``, from the text alone. ``keep_text``: the text may be among them."""
         if self.trees is None:
             rows = docs.select(*id_cols, F.lit(float(self.share)).alias("score"))
         else:
             ids = [f"id{i}" for i in range(len(id_cols))]
-            texts = docs.select(*[F.col(c).alias(i) for c, i in zip(id_cols, ids, strict=True)], text_of(text_col).alias("text"), F.lit(0).alias("lexicon"))
+            texts = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(id_cols, ids, strict=True)], text_of(text_col).alias("text"), F.lit(0).alias("lexicon"))
             rows = with_features(texts, {0: self.lexicon}, [*ids, "text", "lexicon"])
             rows = self.calibration.transform(self.margin(rows).drop("prediction", "probability", "rawPrediction", "features"))
             rows = rows.select(*[F.col(i).alias(c) for c, i in zip(id_cols, ids, strict=True)], F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
