@@ -117,27 +117,30 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
     """Each document, and its text with the last quarter replaced by the beginning of the next document's:
     ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. One row per input row."""
     text = text_of(text_col)
-    rows = docs.select(key_of(id_col).alias("k"), F.col(id_col).alias("id"), text.alias("text"))
+    # the same two columns wherever texts are moved, so that Spark moves them once and reuses the exchange
+    rows = docs.select(key_of(id_col).alias("k"), text.alias("text"))
     needs = docs.select(key_of(id_col).alias("k"), F.length(text).alias("n")).groupBy("k").agg(F.floor(F.max("n") / 4).cast("int").alias("need"))
     chain = next_ids(docs, id_col).select(key_of("id").alias("k"), key_of("next").alias("next"))
     chain = stored(chain.join(needs, "k"), "chain")
     wanted = chain.select("k", "need", F.col("next").alias("nk"))
-    heads = rows.select(F.col("k").alias("nk"), "text").join(wanted, "nk").select("k", "nk", F.xxhash64("text").alias("nh"), F.left("text", "need").alias("head"))
+    heads = rows.withColumnRenamed("k", "at").join(wanted, F.col("at") == F.col("nk")).select("k", "nk", F.xxhash64("text").alias("nh"), F.left("text", "need").alias("head"))
     heads = heads.groupBy("k", "nk").agg(F.min(F.struct("head", "nh")).alias("m")).select("k", "nk", F.col("m.head").alias("head"), F.col("m.nh").alias("nh"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    both = rows.join(heads, "k").select("k", "id", F.xxhash64("text").alias("h"), n.cast("long").alias("n_chars"), "text", "nk", "nh",
+    both = rows.join(heads, "k").select("k", F.xxhash64("text").alias("h"), n.cast("long").alias("n_chars"), "text", "nk", "nh",
                                         F.concat(F.left("text", n - cut), F.left("head", cut)).alias("edited"))
-    light = both.groupBy("k", "h").agg(F.count("*").alias("times"), F.first("id").alias("id"), F.first("n_chars").alias("n_chars"), F.first("nk").alias("nk"),
+    light = both.groupBy("k", "h").agg(F.count("*").alias("times"), F.first("n_chars").alias("n_chars"), F.first("nk").alias("nk"),
                                        F.first("nh").alias("nh"), F.first(F.sha2("edited", 256)).alias("edited_sha256"))
     sides = both.select("k", "h", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")),
                                                     F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("s"))
     made = samples(sides.select("k", "h", "s.side", "s.text"), ["k", "h", "side"])
     pairs = made.groupBy("k", "h").agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("f0"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("f1"))
-    done = light.join(pairs, ["k", "h"], "left").select("k", "h", "times", "id", "n_chars", "nk", "nh", "edited_sha256", F.coalesce("f0", F.lit(EMPTY)).alias("fingerprint"),
+    done = light.join(pairs, ["k", "h"], "left").select("k", "h", "times", "n_chars", "nk", "nh", "edited_sha256", F.coalesce("f0", F.lit(EMPTY)).alias("fingerprint"),
                                                         F.coalesce("f1", F.lit(EMPTY)).alias("edited_fingerprint"))
     done = stored(done, "fingerprints")
     after = done.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("fingerprint").alias("next_fingerprint"))
     out = done.join(after, ["nk", "nh"]).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    id_type = docs.schema[id_col].dataType.simpleString()
+    of_key = F.when(F.col("k") != "", F.substr("k", F.lit(2)).cast(id_type))
+    return out.select(of_key.alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                       likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
