@@ -158,7 +158,7 @@ def responsible_party(clauses: DataFrame, parties: DataFrame | None = None, text
 def _quoted(text: Column, patterns: list[str], needs: list[list[str]], n: int, min_chars: int) -> Column:
     """Distinct matches in order of pattern, then position; a pattern runs only where one of its ``needs`` occurs."""
     def found(low: Column) -> Column:
-        every = F.concat(*[F.when(contains_any(low, words), F.transform(find_all(text, "(?i)" + p), lambda v: strip(v)))
+        every = F.concat(*[F.when(contains_any(low, words), F.transform(find_all(text, "(?iU)" + p), lambda v: strip(v)))
                            .otherwise(F.array().cast("array<string>")) for p, words in zip(patterns, needs)])
         return F.slice(F.array_distinct(F.filter(every, lambda v: F.length(v) >= min_chars)), 1, n)
     return bind(F.lower(text), found)

@@ -129,7 +129,7 @@ def pattern_entities(docs: DataFrame, rules=fixed.ENTITY_PATTERNS, text: str = "
     none = F.array().cast("array<struct<bucket:string,start_char:bigint,end_char:bigint,text:string>>")
 
     def spans(bucket: str, pattern: str) -> Column:
-        return F.transform(match_spans(F.col(text), "(?i)" + pattern), lambda s: F.struct(
+        return F.transform(match_spans(F.col(text), "(?iU)" + pattern), lambda s: F.struct(
             F.lit(bucket).alias("bucket"), s["start_char"].cast("long").alias("start_char"),
             s["end_char"].cast("long").alias("end_char"), clean_mention(s["text"]).alias("text")))
 

@@ -7,11 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, segmenting
-from ..functions.columns import bind, squeeze
+from ..functions.columns import bind, squeeze, strip
 
 
 def score_of(sentence: Column) -> Column:
@@ -119,9 +119,10 @@ def graph_rank_summary(df: DataFrame, n: int = 6, iterations: int = 20, text: st
 def reduce_summaries(chunks: DataFrame, fan_in: int = 6, iterations: int = 20) -> DataFrame:
     """Summary per document from its chunks: 3 sentences per chunk, then groups of ``fan_in`` to 4 sentences until
     one is left. Each level joins at most ``fan_in`` short summaries per group."""
-    level = chunks.filter(F.length("chunk_text") > 0).select(
-        "doc_id", F.col("chunk_index").alias("i"), graph_summary(F.col("chunk_text"), 3, iterations).alias("t"))
-    sizes = chunks.filter(F.length("chunk_text") > 0).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = chunks.filter(F.length(strip(F.col("chunk_text"))) > 0)  # blank chunks are skipped and the rest numbered anew
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")) - 1
+    level = kept.select("doc_id", place.alias("i"), graph_summary(F.col("chunk_text"), 3, iterations).alias("t"))
+    sizes = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 1
     level = level.join(sizes, "doc_id")
     while most > 1:

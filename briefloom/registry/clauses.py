@@ -195,15 +195,15 @@ def category_counts(spark, d):
     return op.category_counts(op.insight_groups(ranked(spark, d)))
 
 
-_FIRST_PATTERNS = [(name, patterns[0]) for name, _, _, patterns in RULES]
+_EVERY_PATTERN = [(f"{name}:{i}", p) for name, _, _, patterns in RULES for i, p in enumerate(patterns)]
 
 
 @query("apply_rules_f12", with_views("paragraphs", " UNION ALL ".join(
     f"SELECT doc_id, para_no, '{n}' AS rule, CAST(len(regexp_extract_all(lower(paragraph), {text(p)})) AS BIGINT) AS n FROM paragraphs "
-    f"WHERE regexp_matches(lower(paragraph), {text(p)})" for n, p in _FIRST_PATTERNS)))
+    f"WHERE regexp_matches(lower(paragraph), {text(p)})" for n, p in _EVERY_PATTERN)))
 def apply_rules(spark, d):
     rows = contract_paragraphs(spark, d).select("doc_id", "para_no", "paragraph")
-    return label_op.apply_rules(rows, _FIRST_PATTERNS, "paragraph").drop("paragraph")
+    return label_op.apply_rules(rows, _EVERY_PATTERN, "paragraph").drop("paragraph")
 
 
 @query("contract_briefing", with_views("groups", "SELECT doc_id, category, importance_label, risk_level, source_count, financial_values, deadlines, key_risks, responsible_parties, summary FROM groups"))

@@ -182,12 +182,12 @@ def published_lists(spark, d):
 @query("queue_status_g7", with_views("jobs", """
 SELECT 'counts' AS section, s AS item, CAST(count(id) AS VARCHAR) AS value FROM (VALUES ('queued'), ('processing'), ('completed'), ('failed')) v(s) LEFT JOIN jobs ON status = s GROUP BY s
 UNION ALL SELECT 'counts', 'total', CAST(count(*) AS VARCHAR) FROM jobs WHERE status IN ('queued', 'processing', 'completed', 'failed')
-UNION ALL SELECT 'oldest_queued_at', '', CAST(CAST(min(created_at) AS DATE) AS VARCHAR) FROM jobs WHERE status = 'queued'
+UNION ALL SELECT 'oldest_queued_at', '', strftime(min(created_at), '%Y-%m-%d %H:%M:%S') FROM jobs WHERE status = 'queued'
 UNION ALL SELECT DISTINCT 'active_workers', worker_name, '' FROM jobs WHERE status = 'processing' AND worker_name <> ''
 UNION ALL SELECT 'recent_failures', CAST(id AS VARCHAR), CAST(attempts AS VARCHAR) FROM (SELECT * FROM jobs WHERE status = 'failed' ORDER BY created_at DESC, id DESC LIMIT 5)"""))
 def queue_status(spark, d):
     rows = job_op.queue_status(samples.jobs(spark, d))
-    return rows.withColumn("value", F.when(F.col("section") == "oldest_queued_at", F.left("value", F.lit(10))).otherwise(F.col("value")))
+    return rows.withColumn("value", F.when(F.col("section") == "oldest_queued_at", F.left("value", F.lit(19))).otherwise(F.col("value")))
 
 
 @query("attempt_outcome_k4", with_views("jobs", """

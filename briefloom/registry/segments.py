@@ -283,12 +283,12 @@ def bullets(spark, d):
 
 @query("summary_sections_c20", with_views("contract_text", """
 SELECT doc_id, key, title, content FROM (
-  SELECT doc_id, 'executive_summary' AS key, 'Executive Summary' AS title, left(text, 40) AS content FROM contract_text
+  SELECT doc_id, 'executive_summary' AS key, 'Executive Summary' AS title, trim(text) AS content FROM contract_text
   UNION ALL SELECT doc_id, 'key_terms', 'Key Terms', 'Type ' || document_type || chr(10) || 'One year' FROM contract_text
   UNION ALL SELECT doc_id, 'usage_rules_and_limits', 'Usage Rules And Limits', 'No subletting' FROM contract_text
 )"""))
 def summary_sections(spark, d):
     maps = samples.contract_text(spark, d).select("doc_id", F.expr(
-        "map('executive_summary', array(left(text, 40)), 'key_terms', array(concat('Type ', document_type), 'One year'), "
+        "map('executive_summary', array(text), 'key_terms', array(concat('Type ', document_type), 'One year'), "
         "'usage_rules_and_limits', array('No subletting'), 'top_insights', array('x'), 'risks', array(''))").alias("m"))
     return op.section_rows(maps, "m")

@@ -48,13 +48,13 @@ _PRIMARY = "CASE WHEN doc_id % 5 = 0 THEN '  ' WHEN doc_id % 7 = 0 THEN '' ELSE
 def _sources(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     primary = docs.filter("doc_id % 4 <> 1").select("doc_id", F.expr(_PRIMARY).alias("text"))
-    legacy = docs.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("old "), F.left("text", F.lit(20))).alias("text"))
-    spill = docs.filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("spilled "), F.left("text", F.lit(20))).alias("text"))
+    legacy = docs.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("old "), F.col("text")).alias("text"))
+    spill = docs.filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("spilled "), F.col("text")).alias("text"))
     return docs, primary, legacy, spill
 
 
 _SIDES = f"""(SELECT d.doc_id, CASE WHEN d.doc_id % 4 <> 1 THEN {_PRIMARY.replace('text', 'd.text').replace('doc_id', 'd.doc_id')} END AS p,
- CASE WHEN doc_id % 3 = 0 THEN 'old ' || left(text, 20) END AS l, CASE WHEN doc_id % 2 = 0 THEN 'spilled ' || left(text, 20) END AS s FROM documents d)"""
+ CASE WHEN doc_id % 3 = 0 THEN 'old ' || text END AS l, CASE WHEN doc_id % 2 = 0 THEN 'spilled ' || text END AS s FROM documents d)"""
 
 
 @query("resolve_text_a4", f"""SELECT doc_id, CASE WHEN trim(p) <> '' THEN p ELSE coalesce(trim(s, ' '||chr(10)), '') END AS text,
@@ -151,12 +151,12 @@ def delete_by_ids(spark, d):
     return op.delete_by_ids(table(spark, d, "embeddings").select("vec_id", "label"), ids, "vec_id", "gone")
 
 
-@query("vector_rows_a14", with_views("ranked", """SELECT doc_id || '_clause_' || (rank - 1) AS vector_id, doc_id, clause_type, responsible_party AS party, importance_label, round(len(paragraph) / 7.0, 3) AS first_value FROM ranked"""))
+@query("vector_rows_a14", with_views("ranked", """SELECT doc_id || '_clause_' || (rank - 1) AS vec_id, doc_id, clause_type, responsible_party AS party, importance_label, round(len(paragraph) / 7.0, 3) AS first_value FROM ranked"""))
 def vector_rows(spark, d):
     clauses = ranked(spark, d)
     vectors = clauses.select("doc_id", (F.col("rank") - 1).alias("clause_no"), F.array(F.length("full_text") / 7.0).alias("embedding"))
     rows = ret.vector_rows(clauses, vectors)
-    return rows.select("vector_id", "doc_id", "clause_type", "party", "importance_label", F.round(F.get("embedding", F.lit(0)), 3).alias("first_value"))
+    return rows.select("vec_id", "doc_id", "clause_type", "party", "importance_label", F.round(F.get("embedding", F.lit(0)), 3).alias("first_value"))
 
 
 @query("analysis_record_a16")

@@ -87,7 +87,7 @@ FROM orders"""
 
 # risk rows standing for parsed answers: one per order line, with uneven severities, types and wording
 RISKS = """
-SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey AS seq,
+SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS BIGINT) AS seq,
   CASE l_partkey % 4 WHEN 0 THEN 'Late fee' WHEN 1 THEN 'Deposit' WHEN 2 THEN '' ELSE 'Unlimited liability' END AS title,
   CASE l_suppkey % 6 WHEN 0 THEN 'liability' WHEN 1 THEN 'financial' WHEN 2 THEN 'termination' WHEN 3 THEN 'Payment terms' WHEN 4 THEN 'compliance' ELSE 'delay' END AS risk_type,
   CASE l_linenumber % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' WHEN 3 THEN 'very high' ELSE 'odd' END AS severity,
