@@ -3,8 +3,8 @@
 Paragraphs are the lines of a text of at least ``MIN_WORDS`` words. Distinct shingle sets are nodes; bands of MinHash values
 bring nodes together, tuned for high recall (``BANDS`` bands of ``ROWS`` values: 0.997 at similarity 0.8), and pairs are
 verified on whole sets. So that a passage inside a longer line is found too, the blocks of whole sentences within a line
-that reach ``MIN_WORDS`` words are paragraphs of their own, compared by their exact words; of two neighbouring blocks the one
-of smaller hash is taken, so that equal passages give equal blocks wherever they stand.
+that reach ``MIN_WORDS`` words are paragraphs of their own, compared by their exact words; of three neighbouring blocks the one
+of least hash is taken, and a line's first and last, so that equal passages give equal blocks wherever they stand.
 
 In buckets of over ``BUCKET`` nodes each node meets the bucket's leaders instead of all others. A cluster is reported if it reaches
 two documents or more; its first paragraph, by id and start, is kept and the others are removals. Null and empty texts have no
@@ -37,6 +37,22 @@ def _lines(data: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(np.concatenate(([0], breaks + 1)).tolist(), np.concatenate((breaks, [len(data)])).tolist(), strict=True)
 
 
+def _run_names(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words ``[first, end)``, from running totals."""
+    power, back = sh._powers(max(1 << 16, 1 << len(words).bit_length()))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[:len(words)], dtype=np.uint64)))
+    return sh.mix((total[end] - total[first]) * back[first] + (end - first).astype(np.uint64))
+
+
+def _chosen(names: np.ndarray) -> list[int]:
+    """The first, the last, and of every three neighbouring blocks the one of least hash."""
+    n = len(names)
+    if n <= 3:
+        return list(range(n))
+    three = np.stack([names[:-2], names[1:-1], names[2:]])
+    return sorted({0, n - 1, *(three.argmin(axis=0) + np.arange(n - 2)).tolist()})
+
+
 def find_paragraphs(text: str) -> list[tuple[str, int, int, bytes, list[int] | None]]:
     """``kind, start, end, name, bands`` of a text's paragraphs; positions are bytes of the lower-cased text in UTF-8."""
     data = sh.text_bytes(text)
@@ -68,11 +84,13 @@ def find_paragraphs(text: str) -> list[tuple[str, int, int, bytes, list[int] | N
         if len(first) < 2:
             continue
         close = np.searchsorted(last, first + MIN_WORDS - 1)
-        blocks = [(i + int(a), i + int(last[c]) + 1) for a, c in zip(first, close, strict=True) if c < len(last)]
-        names = [sh.set_name(words[a:b]) for a, b in blocks]
-        for k, (a, b) in enumerate(blocks):
-            if k == 0 or k + 1 == len(blocks) or names[k] < names[k - 1] or names[k] < names[k + 1]:
-                out.append(("block", int(starts[a]), int(ends[b - 1]), names[k], None))
+        full = close < len(last)
+        a, b = first[full], last[close[full]] + 1
+        if not len(a):
+            continue
+        one, two = _run_names(words[i:j], a, b), _run_names(sh.mix(words[i:j]), a, b)
+        for k in _chosen(one):
+            out.append(("block", int(starts[i + a[k]]), int(ends[i + b[k] - 1]), one[k].tobytes() + two[k].tobytes(), None))
     return out
 
 
