@@ -37,6 +37,16 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def hashed_sample(df: DataFrame, h: Column, max_rows: int, rows: int) -> DataFrame:
+    """At most ``max_rows`` of the ``rows`` rows of ``df``, those of least hash ``h``.
+
+    Rows are first thinned by hash to a few more than wanted, so the final cut sees about ``max_rows`` rows at any input size.
+    """
+    if rows > 2 * max_rows:
+        df = df.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 1.5 * max_rows / rows))
+    return df.orderBy(F.pmod(h, F.lit(1 << 40))).limit(max_rows)
+
+
 def text_of(column: str | Column) -> Column:
     """The text, null counting as empty."""
     return F.coalesce(column if isinstance(column, Column) else F.col(column), F.lit(""))

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from briefloom.llm.common import hashed_sample
+
 #: Most labelled pages that weights are fitted on, chosen by hash.
 LABELLED_PAGES = 2_000
 
@@ -187,7 +189,7 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
 def learn_weights(pages: DataFrame, html_col: str = "html", max_pages: int = LABELLED_PAGES) -> dict[str, float]:
     """Weights from at most ``max_pages`` self-labelled pages, those of least hash. Only counts per kind come to the driver."""
     labelled = pages.select(F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
-    sample = labelled.orderBy(F.xxhash64("html"), "html").limit(max_pages)
+    sample = hashed_sample(labelled, F.xxhash64("html"), max_pages, labelled.count())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import stored, text_of
+from briefloom.llm.common import hashed_sample, stored, text_of
 
 #: Labelled rows per class that are learned from, entries of a lexicon, and score from which a text is called toxic.
 MAX_PER_CLASS = 10_000
@@ -166,7 +166,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_per_
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     rank = F.xxhash64("doc_id", F.lit("toxicity"))
-    picks = [known.where(F.col("toxic") == y).orderBy(rank, "doc_id").limit(max_per_class) for y in (0, 1)]
+    picks = [hashed_sample(known.where(F.col("toxic") == y), rank, max_per_class, sizes.get(y, 0)) for y in (0, 1)]
     picked = picks[0].union(picks[1]).select(F.col("doc_id").alias("pick"), "toxic")
     rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("pick")).select(
         F.pmod(F.xxhash64(F.left(text_of("text"), F.lit(200))), F.lit(2)).cast("int").alias("fold"),
