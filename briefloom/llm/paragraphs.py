@@ -2,9 +2,9 @@
 
 Paragraphs are the lines of a text of at least ``MIN_WORDS`` words. Distinct shingle sets are nodes; bands of MinHash values
 bring nodes together, tuned for high recall (``BANDS`` bands of ``ROWS`` values: 0.997 at similarity 0.8), and pairs are
-verified on whole sets. So that a passage inside a longer line is found too, the blocks of whole sentences within a line
-that reach ``MIN_WORDS`` words are paragraphs of their own, compared by their exact words; of three neighbouring blocks the one
-of least hash is taken, and a line's first and last, so that equal passages give equal blocks wherever they stand.
+verified on whole sets. So that a passage inside a longer line, or across lines, is found too, runs of ``MIN_WORDS`` words are
+paragraphs of their own, compared by their exact words: of every ``WINDOW`` neighbouring runs the one of least hash. Equal passages
+of ``MIN_WORDS + WINDOW - 1`` = 50 words hold a whole window, so they share a run wherever they stand.
 
 In buckets of over ``BUCKET`` nodes each node meets the bucket's leaders instead of all others. A cluster is reported if it reaches
 two documents or more; its first paragraph, by id and start, is kept and the others are removals. Null and empty texts have no
@@ -24,12 +24,12 @@ from briefloom.llm import shingles as sh
 from briefloom.llm.common import components, stored, text_of
 from briefloom.llm.jaccard import verified
 
-#: Words of a paragraph, at least; bands and values per band; nodes of a bucket that all meet each other.
-MIN_WORDS, BANDS, ROWS, BUCKET = 25, 8, 3, 8
-#: Sentences of more words are cut further, at words whose hash is a multiple of eight.
-LONG_SENTENCE = 30
-_STOPS = np.zeros(256, bool)
-_STOPS[[*b".!?"]] = True
+#: Words of a paragraph, at least; bands and values per band; nodes of a bucket that all meet each other; neighbouring runs of which one is taken.
+MIN_WORDS, BANDS, ROWS, BUCKET, WINDOW = 25, 8, 3, 8, 26
+
+
+#: Columns that tell where a paragraph stands.
+PLACE = ("id", "h", "start", "end")
 
 
 def _lines(data: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -44,13 +44,28 @@ def _run_names(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndar
     return sh.mix((total[end] - total[first]) * back[first] + (end - first).astype(np.uint64))
 
 
-def _chosen(names: np.ndarray) -> list[int]:
-    """The first, the last, and of every three neighbouring blocks the one of least hash."""
-    n = len(names)
-    if n <= 3:
-        return list(range(n))
-    three = np.stack([names[:-2], names[1:-1], names[2:]])
-    return sorted({0, n - 1, *(three.argmin(axis=0) + np.arange(n - 2)).tolist()})
+def _over_window(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) of each ``width`` neighbouring values, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = pick(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def chosen_runs(names: np.ndarray) -> np.ndarray:
+    """Places of the names that are least among some ``WINDOW`` neighbours (or among all, if there are fewer).
+
+    Of equal names less than ``MIN_WORDS`` words apart, as in a text that repeats itself, the first is taken.
+    """
+    width = min(WINDOW, len(names))
+    least = _over_window(names, width, np.minimum)
+    edge = np.zeros(width - 1, np.uint64)
+    places = np.flatnonzero(_over_window(np.concatenate((edge, least, edge)), width, np.maximum) == names)
+    places = places[np.argsort(names[places], kind="stable")]
+    again = np.flatnonzero((names[places[1:]] == names[places[:-1]]) & (np.diff(places) < MIN_WORDS)) + 1
+    return np.sort(np.delete(places, again))
 
 
 def find_paragraphs(text: str) -> list[tuple[str, int, int, bytes, list[int] | None]]:
@@ -69,28 +84,13 @@ def find_paragraphs(text: str) -> list[tuple[str, int, int, bytes, list[int] | N
             keys = sh.mix(keys * np.uint64(31) + values[:, r] + np.uint64(1))
         keys = sh.mix(keys + np.arange(BANDS, dtype=np.uint64))
         out.append(("line", int(starts[i]), int(ends[j - 1]), sh.set_name(found), keys.view(np.int64).tolist()))
-        # sentences: a word after which a stop stands before the next word
-        stops = np.concatenate(([0], np.cumsum(_STOPS[data[begin:end]])))
-        gap = np.append(starts[i + 1:j], end) - begin
-        last = np.flatnonzero(stops[gap] > stops[ends[i:j] - begin])
-        if not len(last) or last[-1] != j - i - 1:
-            last = np.append(last, j - i - 1)
-        sizes = np.diff(np.concatenate(([-1], last)))
-        if sizes.max() > LONG_SENTENCE:  # long sentences are cut at words chosen by hash
-            cuts = (words[i:j] % np.uint64(8) == 0) & np.repeat(sizes > LONG_SENTENCE, sizes)
-            cuts[last] = True
-            last = np.flatnonzero(cuts)
-        first = np.concatenate(([0], last[:-1] + 1))
-        if len(first) < 2:
-            continue
-        close = np.searchsorted(last, first + MIN_WORDS - 1)
-        full = close < len(last)
-        a, b = first[full], last[close[full]] + 1
-        if not len(a):
-            continue
-        one, two = _run_names(words[i:j], a, b), _run_names(sh.mix(words[i:j]), a, b)
-        for k in _chosen(one):
-            out.append(("block", int(starts[i + a[k]]), int(ends[i + b[k] - 1]), one[k].tobytes() + two[k].tobytes(), None))
+    first = np.arange(len(words) - MIN_WORDS + 1)
+    if len(first):
+        names = _run_names(words, first, first + MIN_WORDS)
+        first = chosen_runs(names)
+        last = first + MIN_WORDS
+        both = np.stack([names[first], _run_names(sh.mix(words), first, last)], axis=1)
+        out += [("run", int(starts[a]), int(ends[b - 1]), two.tobytes(), None) for a, b, two in zip(first, last, both, strict=True)]
     return out
 
 
@@ -145,7 +145,7 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "do
     bytes of the lower-cased text; a row that is not ``kept`` is a removal.
     """
     every = paragraphs_of(docs, text_col, id_col)
-    where = F.struct("id", "h", "start", "end")
+    where = F.struct(*PLACE)
     lines = every.where("kind = 'line'")
     nodes = lines.groupBy("node").agg(F.min(where).alias("rep"), F.first("bands").alias("bands"))
     nodes = stored(nodes.select("node", "rep.*", "bands"), "lines")
@@ -153,13 +153,17 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "do
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _sets(docs, nodes.drop("bands").join(ends, "node", "left_semi"), text_col, id_col)
     roots = stored(components(verified(pairs, sets, sh.SIMILARITY).select("a", "b")), "roots")
-    per_node = every.groupBy("kind", "node").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(where).alias("first"), F.count("*").alias("n"))
-    per_node = per_node.join(roots.withColumn("kind", F.lit("line")), ["kind", "node"], "left").withColumn("root", F.coalesce("root", "node"))
-    per_node = stored(per_node.where((F.col("low") != F.col("high")) | (F.col("root") != F.col("node")) | (F.col("kind") == "line")), "per-node")
-    clusters = per_node.groupBy("kind", "root").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"))
-    clusters = clusters.where(F.col("low") != F.col("high"))
-    named = per_node.join(clusters.select("kind", "root", F.col("first").alias("keep")), ["kind", "root"]).select("kind", "node", "keep")
-    out = every.select("id", "h", "kind", "start", "end", "node").join(named, ["kind", "node"])
-    out = out.select(F.col("id").alias(id_col), "kind", "start", "end", F.concat_ws(":", F.col("keep.id"), "kind", F.col("keep.start")).alias("class_id"),
-                     F.col("keep.id").alias("first_doc"), F.struct("id", "h", "start", "end").eqNullSafe(F.col("keep")).alias("kept"))
+    # lines: clusters of linked nodes; one of a single node counts if two documents hold it
+    per_node = lines.groupBy("node").agg(F.min(where).alias("first"), F.max("id").alias("high"))
+    per_node = stored(per_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "per-node")
+    clusters = per_node.groupBy("root").agg(F.min("first").alias("keep"), F.max("high").alias("high"))
+    clusters = clusters.where(~F.col("keep.id").eqNullSafe(F.col("high")))
+    named = per_node.select("node", "root").join(clusters, "root").select("node", "keep")
+    found = lines.select(*PLACE, "kind", "node").join(named, "node")
+    # runs: equal words are equal nodes
+    runs = every.where("kind = 'run'")
+    shared = runs.groupBy("node").agg(F.min(where).alias("keep"), F.max("id").alias("high")).where(~F.col("keep.id").eqNullSafe(F.col("high")))
+    found = found.union(runs.select(*PLACE, "kind", "node").join(shared.select("node", "keep"), "node"))
+    out = found.select(F.col("id").alias(id_col), "kind", "start", "end", F.concat_ws(":", F.col("keep.id"), "kind", F.col("keep.start")).alias("class_id"),
+                       F.col("keep.id").alias("first_doc"), F.struct(*PLACE).eqNullSafe(F.col("keep")).alias("kept"))
     return out

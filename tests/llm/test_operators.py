@@ -123,6 +123,20 @@ def test_passages_inside_lines(spark, none):
     assert paragraphs.repeated_passages(none).count() == 0
 
 
+def test_passages_of_fifty_words_share_a_run(spark):
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([f"{k}a{i}" for i in range(k * 13)] + passage + [f"{k}b{i}" for i in range(k * 7)]) for k in range(1, 9)]
+    texts.append("\n".join(["other", " ".join(passage[:20]), " ".join(passage[20:]), "end"]))  # across lines
+    names = [{p[3] for p in paragraphs.find_paragraphs(t) if p[0] == "run"} for t in texts]
+    assert set.intersection(*names)
+    assert len(paragraphs.find_paragraphs("again " * 5000)) == 2  # a line and one run
+    assert not [p for p in paragraphs.find_paragraphs(" ".join(passage[:24]))]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(None, texts[0], "en", "a", 1), (99, " ".join(f"q{i}" for i in range(300)), "en", "a", 1)]
+    found = paragraphs.repeated_passages(spark.createDataFrame(rows, SCHEMA)).where("kind = 'run'").collect()
+    assert {r["doc_id"] for r in found} == {*range(len(texts)), None}
+    assert all(sum(r["kept"] for r in found if r["class_id"] == c) == 1 for c in {r["class_id"] for r in found})
+
+
 def test_near_duplicates_against_brute_force(spark, docs, none):
     path = "/root/testdata/sf0.001/documents.parquet"
     texts = spark.read.parquet(path)
