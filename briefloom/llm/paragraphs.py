@@ -26,15 +26,31 @@ from briefloom.llm.jaccard import verified
 
 #: Words of a paragraph, at least; bands and values per band; nodes of a bucket that all meet each other; neighbouring runs of which one is taken.
 MIN_WORDS, BANDS, ROWS, BUCKET, WINDOW = 25, 8, 3, 8, 26
-
-
 #: Columns that tell where a paragraph stands.
 PLACE = ("id", "h", "start", "end")
 
 
-def _lines(data: np.ndarray) -> Iterator[tuple[int, int]]:
-    breaks = np.flatnonzero(data == 10)
-    yield from zip(np.concatenate(([0], breaks + 1)).tolist(), np.concatenate((breaks, [len(data)])).tolist(), strict=True)
+def _band_keys(shingles: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One row of ``BANDS`` hashes for each line, whose shingles are ``shingles[first:end]``."""
+    a, b = sh.hash_family(BANDS * ROWS)
+    least = np.empty((len(first), BANDS * ROWS), np.uint64)
+    total = np.concatenate(([0], np.cumsum(end - first)))
+    at = 0
+    while at < len(first):  # lines of about 4096 shingles in all are hashed at once
+        to = int(np.searchsorted(total, total[at] + 4096, side="right")) - 1
+        if to <= at:
+            least[at] = sh.minhash(shingles[first[at]:end[at]], BANDS * ROWS)
+            at += 1
+            continue
+        values = np.concatenate([shingles[x:y] for x, y in zip(first[at:to].tolist(), end[at:to].tolist(), strict=True)]) * a[:, None]
+        values += b[:, None]
+        least[at:to] = (np.minimum.reduceat(values, total[at:to] - total[at], axis=1) >> np.uint64(32)).T
+        at = to
+    least = least.reshape(len(first), BANDS, ROWS)
+    keys = np.zeros((len(first), BANDS), np.uint64)
+    for r in range(ROWS):
+        keys = sh.mix(keys * np.uint64(31) + least[:, :, r] + np.uint64(1))
+    return sh.mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
 def _run_names(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -73,24 +89,22 @@ def find_paragraphs(text: str) -> list[tuple[str, int, int, bytes, list[int] | N
     data = sh.text_bytes(text)
     starts, ends, words = sh.word_hashes(data)
     out = []
-    for begin, end in _lines(data):
-        i, j = np.searchsorted(starts, (begin, end))
-        if j - i < MIN_WORDS:
-            continue
-        found = np.unique(sh.shingle_hashes(words[i:j]))
-        values = sh.minhash(found, BANDS * ROWS).astype(np.uint64).reshape(BANDS, ROWS)
-        keys = np.zeros(BANDS, np.uint64)
-        for r in range(ROWS):
-            keys = sh.mix(keys * np.uint64(31) + values[:, r] + np.uint64(1))
-        keys = sh.mix(keys + np.arange(BANDS, dtype=np.uint64))
-        out.append(("line", int(starts[i]), int(ends[j - 1]), sh.set_name(found), keys.view(np.int64).tolist()))
+    breaks = np.searchsorted(starts, np.flatnonzero(data == 10))
+    first, last = np.concatenate(([0], breaks)), np.append(breaks, len(words))
+    first, last = first[last - first >= MIN_WORDS], last[last - first >= MIN_WORDS]
+    if len(first):
+        shingles = sh.shingle_hashes(words)
+        bands = _band_keys(shingles, first, last - sh.WIDTH + 1).view(np.int64).tolist()
+        for i, j, keys in zip(first.tolist(), last.tolist(), bands, strict=True):
+            out.append(("line", int(starts[i]), int(ends[j - 1]), sh.set_name(np.unique(shingles[i:j - sh.WIDTH + 1])), keys))
     first = np.arange(len(words) - MIN_WORDS + 1)
     if len(first):
         names = _run_names(words, first, first + MIN_WORDS)
         first = chosen_runs(names)
         last = first + MIN_WORDS
         both = np.stack([names[first], _run_names(sh.mix(words), first, last)], axis=1)
-        out += [("run", int(starts[a]), int(ends[b - 1]), two.tobytes(), None) for a, b, two in zip(first, last, both, strict=True)]
+        packed = both.tobytes()
+        out += [("run", a, b, packed[k:k + 16], None) for a, b, k in zip(starts[first].tolist(), ends[last - 1].tolist(), range(0, len(packed), 16), strict=True)]
     return out
 
 

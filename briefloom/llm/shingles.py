@@ -93,14 +93,14 @@ def set_name(shingles: np.ndarray) -> bytes:
 
 
 @cache
-def _hash_family(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_family(count: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, dtype=np.uint64)
 
 
 def minhash(shingles: np.ndarray, count: int, seed: int = 5) -> np.ndarray:
     """``count`` minima of independent hashes of the set (32 bits each)."""
-    a, b = _hash_family(count, seed)
+    a, b = hash_family(count, seed)
     least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 512):
         values = shingles[at:at + 512, None] * a
