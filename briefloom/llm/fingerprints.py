@@ -85,19 +85,6 @@ def likeness(a: Column, b: Column) -> Column:
     return total / float(SAMPLES)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples of two fingerprints."""
-    equal = [(F.substring(a, 6 * i + 1, 6) == F.substring(b, 6 * i + 1, 6)).cast("int") for i in range(SAMPLES)]
-    total = equal[0]
-    for e in equal[1:]:
-        total = total + e
-    return total / float(SAMPLES)
-
-
-#: Fingerprint of texts without words.
-EMPTY = "-" * (6 * SAMPLES)
-
-
 def key_of(column: str | Column) -> Column:
     """An id as a text that is never null, so that joins and groups on it share one placement."""
     column = column if isinstance(column, Column) else F.col(column)
