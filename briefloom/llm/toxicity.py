@@ -5,8 +5,8 @@ and rates of capitals, punctuation and obfuscation. Everything is learned from l
 per class, chosen by hash; rows a caller holds out never enter. Lexicon features of a training row come from the rows
 of the other fold, so the trees do not see the row's own words as evidence.
 
-Null and empty texts are scored like any other (all rates zero). Without labelled rows of both classes every score is
-the share of label 1 among them, or 0. Rows are independent: repeated rows get equal scores, empty input gives no rows.
+Null and empty texts are scored like any other (all rates zero). Unless labelled documents of both classes are found, every
+score is the share of label 1 among the labels, or 0. Rows are independent: repeated rows get equal scores, empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -179,12 +179,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Tox
     """Learn from labelled rows for which ``usable`` (of ``doc_id``) holds: three quarters fit the trees, one quarter the calibration."""
     rows, sizes = labelled_sample(docs, labels, F.lit(True) if usable is None else usable)
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    if len(sizes) < 2:
-        return ToxicityModel(({}, {}), None, None, share)
     sample = stored(rows, "labelled")
+    found = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # labels without a document teach nothing
+    if len(found) < 2:
+        return ToxicityModel(({}, {}), None, None, share)
     lexicons = _lexicons(sample)
     features = stored(with_features(sample.withColumn("lexicon", F.col("fold")), lexicons, ["fold", "part", "toxic", "weight", "text", "lexicon"]), "features").coalesce(2)
-    few = sizes[0] < 40 or sizes[1] < 40
+    few = found[0] < 40 or found[1] < 40
     model = ToxicityModel(lexicons[2], None, None, share)
     train = ToxicityModel.assemble(features if few else features.where("part > 0"))
     model.trees = GBTClassifier(labelCol="toxic", featuresCol="features", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=3, seed=7).fit(train)
