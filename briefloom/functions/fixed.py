@@ -321,6 +321,8 @@ REVIEW_DATES = [r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
                 r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b"]
 REVIEW_LEGAL = r"(Section\s\d+[A-Za-z]*\s(?:of\s\w+)?|(?:[A-Z][A-Za-z\s]+)\sAct,\s\d{4})"
 REVIEW_JUDGE = r"(Justice|Hon\.?ble)\s[A-Z][a-z]+\s[A-Z][a-z]+"
+REVIEW_CASE = r"(Case\sNo\.?|Appeal\sNo\.?)\s?\d+/?\d*"
+REVIEW_POLICY = r"(Policy\sNo\.?|Claim\sID)\s?:?\s?\w+"
 REVIEW_ROLES = ["Lessor", "Lessee", "Buyer", "Seller", "Employer", "Employee", "Lender", "Borrower", "Licensor",
                 "Licensee", "Disclosing Party", "Receiving Party", "Plaintiff", "Defendant", "Insurer", "Insured",
                 "Policyholder"]

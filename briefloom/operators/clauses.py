@@ -316,9 +316,9 @@ def group_summary(ranked: DataFrame) -> DataFrame:
     return insight_groups(ranked).select("doc_id", "category", "summary")
 
 
-def supplement_groups(ranked: DataFrame, min_groups: int = 5, max_groups: int = 8) -> DataFrame:
+def supplement_groups(ranked: DataFrame, min_groups: int = 5) -> DataFrame:
     """Extra groups for documents with fewer than ``min_groups``: categories not shown yet, from clauses whose
-    paragraph is in no group. Six categories exist, so ``max_groups`` cannot bind."""
+    paragraph is in no group."""
     shown = ~F.col("clause_type").isin(*fixed.UNGROUPED_TYPES)
     doc = Window.partitionBy("doc_id")
     df = with_category(ranked).withColumns({

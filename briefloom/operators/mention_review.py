@@ -51,6 +51,16 @@ def exclude_contained(parties: DataFrame, others: DataFrame) -> DataFrame:
     return df.filter(~F.coalesce(inside, F.lit(False))).drop("_held")
 
 
+def review_references(mentions: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Distinct (doc_id, bucket, text) of the second pass: LAW mentions, and what its legal, case, policy and judge patterns match."""
+    found = lambda bucket, pattern, flags="(?U)": F.transform(
+        find_all(F.col(text), flags + pattern), lambda v: F.struct(F.lit(bucket).alias("bucket"), strip(v).alias("text")))
+    every = F.concat(found("legal_references", fixed.REVIEW_LEGAL), found("judges", fixed.REVIEW_JUDGE),
+                     found("case_identifiers", fixed.REVIEW_CASE, "(?iU)"), found("policy_identifiers", fixed.REVIEW_POLICY, "(?iU)"))
+    laws = mentions.filter("label = 'LAW'").select("doc_id", F.lit("legal_references").alias("bucket"), "text")
+    return docs.select("doc_id", F.inline(every)).unionByName(laws).distinct()
+
+
 def merge_places(mentions: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Places of each document; two that stand side by side in the text become 'A, B'. Each is used once, in order."""
     gpe = mentions.filter(F.col("label") == "GPE").groupBy("doc_id").agg(

@@ -71,12 +71,6 @@ def add_overlap(df: DataFrame, words: int = 150) -> DataFrame:
     return df.withColumn("chunks", segmenting.with_overlap(F.col("chunks"), words))
 
 
-def chunk_documents(df: DataFrame, min_words: int = 1200, max_words: int = 1500, overlap: int = 150,
-                    text: str = "text") -> DataFrame:
-    return explode_units(df, segmenting.chunk_text(F.col(text), min_words, max_words, overlap), "chunk_index",
-                         "chunk_text", text)
-
-
 def chunk_sequential(df: DataFrame, max_words: int = 3000, text: str = "text") -> DataFrame:
     return explode_units(df, segmenting.chunk_sequential(F.col(text), max_words), "chunk_index", "chunk_text", text)
 

@@ -236,6 +236,25 @@ def exclude_contained(spark, d):
     return rev.exclude_contained(reviewed(spark, d).filter("label IN ('PERSON', 'ORG')"), others).select("doc_id", "text")
 
 
+view("review_references", "SELECT DISTINCT doc_id, bucket, trim(text) AS text FROM (SELECT doc_id, 'legal_references' AS bucket, text FROM reviewed WHERE label = 'LAW'\nUNION ALL "
+     + "\nUNION ALL ".join(f"SELECT doc_id, '{b}', unnest(regexp_extract_all(text, {text(p)}, 0, '{o}')) FROM flat_text" for b, p, o in (
+         ("legal_references", fixed.REVIEW_LEGAL, "c"), ("judges", fixed.REVIEW_JUDGE, "c"),
+         ("case_identifiers", fixed.REVIEW_CASE, "i"), ("policy_identifiers", fixed.REVIEW_POLICY, "i"))) + ")", ["reviewed", "flat_text"])
+
+
+@query("review_references_e21", with_views("review_references", "SELECT * FROM review_references"))
+def review_references(spark, d):
+    return rev.review_references(reviewed(spark, d), flat(spark, d))
+
+
+@query("exclude_reviewed_e21", with_views("review_references", """
+SELECT doc_id, text FROM reviewed r WHERE label IN ('PERSON', 'ORG') AND NOT EXISTS (
+  SELECT 1 FROM review_references e WHERE e.doc_id = r.doc_id AND e.bucket IN ('judges', 'legal_references') AND contains(lower(e.text), lower(r.text)))"""))
+def exclude_reviewed(spark, d):
+    others = rev.review_references(reviewed(spark, d), flat(spark, d)).filter("bucket IN ('judges', 'legal_references')")
+    return rev.exclude_contained(reviewed(spark, d).filter("label IN ('PERSON', 'ORG')"), others).select("doc_id", "text")
+
+
 @query("merge_places_e22")
 def merge_places(spark, d):
     places = mentions(spark, d).withColumn("label", F.when(F.col("label").isin("GPE", "PERSON"), "GPE").otherwise(F.col("label")))

@@ -50,12 +50,12 @@ def stream_rollup(spark, d):
 
 
 # risks as events: the same event type, value and user say the same thing
-@query("stream_dedup_k5", "SELECT DISTINCT 'event ' || event_type || '|' || CAST(user_id AS VARCHAR) AS signature FROM events")
+@query("stream_dedup_k5", "SELECT DISTINCT 'event ' || event_type || '|||' || CAST(user_id AS VARCHAR) AS signature FROM events")
 def stream_dedup(spark, d):
     out = work_dir(spark)
     risks = _stream(spark, d, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("Event "), "event_type").alias("title"), F.lit("").alias("category"),
         F.lit("").alias("risk_type"), F.col("user_id").cast("string").alias("explanation"))
-    signed = risks.select("ts", F.regexp_replace(risk_op.risk_signature(), r"\|+", "|").alias("signature"))
+    signed = risks.select("ts", risk_op.risk_signature().alias("signature"))
     op.finished(op.stream_dedup(signed, "ts", "400 days", ["signature"], f"{out}/rows", f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/rows").select("signature")

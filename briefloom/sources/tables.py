@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import strip
-from ..plans.placement import work_dir
 
 METHODS = {".pdf": "pymupdf", ".docx": "docx"}
 LEGACY_EXTENSION = ".doc"
@@ -173,10 +172,3 @@ def assemble_analysis(docs: DataFrame, summaries: DataFrame, entities: DataFrame
     df = df.join(ents, "doc_id", "left").join(counts, "doc_id", "left")
     return df.withColumn("chunk_count", F.coalesce("chunk_count", F.lit(1)).cast("long")).withColumn(
         "cleaned_word_count", F.regexp_count("cleaned_text", F.lit(r"(?U)\w\S*")).cast("long"))
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared work folder and read it back, cutting its lineage."""
-    path = f"{work_dir(df.sparkSession)}/stored"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
