@@ -36,9 +36,9 @@ def fallback_mentions(mentions: DataFrame, docs: DataFrame, text: str = "text")
         return F.when(F.exists(acc, lambda m: m.contains(v) | v.contains(m)), acc).otherwise(F.concat(acc, F.array(v)))
 
     money = bind(F.coalesce("money", none), lambda old: bind(
-        F.aggregate(F.transform(find_all(F.col("low"), fixed.REVIEW_MONEY), lambda v: strip(v)), old, add),
+        F.aggregate(F.transform(find_all(F.col("low"), "(?U)" + fixed.REVIEW_MONEY), lambda v: strip(v)), old, add),
         lambda every: F.slice(every, F.size(old) + 1, F.size(every))))
-    dates = F.array_except(F.concat(*[find_all(F.col("low"), p) for p in fixed.REVIEW_DATES]), F.coalesce("dates", none))
+    dates = F.array_except(F.concat(*[find_all(F.col("low"), "(?U)" + p) for p in fixed.REVIEW_DATES]), F.coalesce("dates", none))
     rows = lambda label, xs: F.transform(xs, lambda v: F.struct(F.lit(label).alias("label"), v.alias("text")))
     return df.select("doc_id", F.inline(F.concat(rows("MONEY", money), rows("DATE", dates))))
 
@@ -72,8 +72,8 @@ def merge_places(mentions: DataFrame, docs: DataFrame, text: str = "text") -> Da
 
         def step(acc: Column, i: Column) -> Column:
             a = F.get(ps, i)
-            beside = lambda j: F.regexp_like(F.col("_text"), F.concat(
-                F.lit(r"(?i)\Q"), a, F.lit(r"\E[\s,]+\Q"), F.get(ps, j), F.lit(r"\E")))
+            quoted = lambda c: F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+            beside = lambda j: F.regexp_like(F.col("_text"), F.concat(F.lit("(?iU)"), quoted(a), F.lit(r"[\s,]+"), quoted(F.get(ps, j))))
             free = F.filter(at, lambda j: (j != i) & ~F.array_contains(acc["used"], j) & beside(j))
             return F.when(F.array_contains(acc["used"], i), acc).otherwise(bind(F.get(free, F.lit(0)), lambda j: F.when(
                 j.isNull(), F.struct(F.concat(acc["out"], F.array(a)).alias("out"), acc["used"].alias("used"))

@@ -231,6 +231,21 @@ def test_places_merge_once_in_order(spark):
     assert [r["place"] for r in mention_review.merge_places(mentions, docs).collect()] == ["Pune, India", "Delhi", "Goa"]
 
 
+def test_places_are_literal_and_of_any_script(spark):
+    docs = spark.createDataFrame([(1, "À Évry,\u00a0île d'yeu; in A\\Eb, C+ and ÉVRY")], "doc_id long, text string")
+    mentions = spark.createDataFrame([(1, "GPE", t, i) for i, t in enumerate(["évry", "Île d'Yeu", "A\\Eb", "C+"])], "doc_id long, label string, text string, start_char long")
+    assert [r["place"] for r in mention_review.merge_places(mentions, docs).collect()] == ["évry, Île d'Yeu", "A\\Eb, C+"]
+
+
+def test_second_pass_references(spark):
+    docs = spark.createDataFrame([(1, "Under Section 12A of Código and the Indian Contract Act, 1872 Justice Asha Rao heard case no. 12/3 on Policy No: é9. Justice Asha Rao left")], "doc_id long, text string")
+    laws = spark.createDataFrame([(1, "LAW", "GDPR"), (1, "ORG", "Acme")], "doc_id long, label string, text string")
+    rows = mention_review.review_references(laws, docs).collect()
+    assert sorted((r["bucket"], r["text"]) for r in rows) == [
+        ("case_identifiers", "case no. 12/3"), ("judges", "Justice Asha Rao"), ("legal_references", "GDPR"),
+        ("legal_references", "Indian Contract Act, 1872"), ("legal_references", "Section 12A of Código"), ("policy_identifiers", "Policy No: é9")]
+
+
 # --- retrieval
 def test_role_priority_and_aliases(spark):
     es = spark.createDataFrame([(1, "parties", "Asha", 5, "model", "Asha (Lessee)"), (1, "locations", "Pune", 9, "model", "Pune"),
