@@ -130,14 +130,14 @@ for _name, _op, _d in [
 ]:
     query(_name, with_views("contract_text", chain("contract_text", _d)))(_contracts(_op))
 
-_SUMMARY_STEPS = [d_chars, d_runs, d_noise, d_hyphen, d_spaces, d_repeats, d_merge, d_tidy, strip]
+SUMMARY_STEPS = [d_chars, d_runs, d_noise, d_hyphen, d_spaces, d_repeats, d_merge, d_tidy, strip]
 _DATA_STEPS = [d_chars, d_runs, d_noise_address, d_identity, d_numeric, d_hyphen, d_spaces, d_headings, d_repeats,
                d_merge, d_tidy, strip]
-query("clean_documents_b13", chain("documents", *_SUMMARY_STEPS))(
+query("clean_documents_b13", chain("documents", *SUMMARY_STEPS))(
     _docs(lambda df: op.clean_text(df, for_summarization=True)))
 query("clean_contracts_b13", with_views("contract_text", chain("contract_text", *_DATA_STEPS)))(
     _contracts(lambda df: op.clean_text(df, for_summarization=False)))
-query("clean_contracts_for_summary_b13", with_views("contract_text", chain("contract_text", *_SUMMARY_STEPS)))(
+query("clean_contracts_for_summary_b13", with_views("contract_text", chain("contract_text", *SUMMARY_STEPS)))(
     _contracts(lambda df: op.clean_text(df, for_summarization=True)))
 
 

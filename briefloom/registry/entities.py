@@ -11,6 +11,7 @@ from ..operators import labels as label_op
 from ..operators import mention_review as rev
 from ..sources import samples
 from . import query
+from .cleaning import SUMMARY_STEPS, chain
 from .sql import any_of, text, view, with_views
 
 flat, mentions = samples.flat_text, samples.mentions
@@ -222,10 +223,24 @@ def filter_mentions(spark, d):
     return reviewed(spark, d).select("doc_id", "label", "text", "original")
 
 
-@query("fallback_mentions_e20")
+_held = "list_filter(acc, lambda m: contains(m, x[1]) OR contains(x[1], m))"
+_found_dates = " || ".join(f"regexp_extract_all(low, {text(p)})" for p in fixed.REVIEW_DATES)
+view("summary_text", chain("contract_text", *SUMMARY_STEPS), ["contract_text"])
+view("fallback_mentions", f"""
+WITH known AS (SELECT doc_id, list(lower(text)) FILTER (label = 'MONEY') AS money, list(lower(text)) FILTER (label = 'DATE') AS dates FROM reviewed WHERE NOT (label = 'MONEY' AND text LIKE '%,%') GROUP BY doc_id),
+texts AS (SELECT t.doc_id, lower(t.text) AS low, coalesce(money, CAST([] AS VARCHAR[])) AS money, coalesce(dates, CAST([] AS VARCHAR[])) AS dates
+  FROM summary_text t LEFT JOIN known k ON k.doc_id = t.doc_id),
+added AS (SELECT doc_id, money, list_reduce(list_prepend(money, list_transform(regexp_extract_all(low, {text(fixed.REVIEW_MONEY)}), lambda v: [trim(v)])),
+  lambda acc, x: CASE WHEN len({_held}) > 0 THEN acc ELSE list_concat(acc, x) END) AS every FROM texts)
+SELECT doc_id, 'MONEY' AS label, unnest(every[len(money) + 1:]) AS text FROM added
+UNION ALL SELECT doc_id, 'DATE', unnest(list_distinct(list_filter({_found_dates}, lambda v: NOT list_contains(dates, v)))) FROM texts""", ["reviewed", "summary_text"])
+
+
+@query("fallback_mentions_e20", with_views("fallback_mentions", "SELECT * FROM fallback_mentions"))
 def fallback_mentions(spark, d):
     docs = samples.contract_text(spark, d).withColumn("text", clean_text(F.col("text"), True))
-    return rev.fallback_mentions(reviewed(spark, d).filter("label <> 'MONEY'"), docs)
+    plain = reviewed(spark, d).filter("NOT (label = 'MONEY' AND text LIKE '%,%')")  # as if amounts with commas were missed
+    return rev.fallback_mentions(plain, docs)
 
 
 @query("exclude_contained_e21", with_views("reviewed pattern_entities", """
