@@ -2,12 +2,10 @@
 
 Every distinct set of five-word shingles is a node, so copies, however many, are one node from the start. A tree of the forest
 sorts nodes by their sequence of MinHash values; nodes that share a prefix are candidates. The prefix is shortened from the
-longest until the expected recall at the wanted similarity, 1 - (1 - s^depth)^trees, reaches the target. Where a bucket of that
-depth is larger than ``BUCKET`` nodes it is a subtree of its own: its nodes meet within longer prefixes, level by level, and
-each node meets the bucket's two leaders: the node most nodes collide with over all trees (the text the others were
-copied from, if there is one), and one by hash. So pairs grow with the number of nodes, whatever the size of a group.
-
-Each candidate pair is verified on whole shingle sets. Verified links form components: the classes.
+longest until the expected recall at the wanted similarity, 1 - (1 - s^depth)^trees, reaches the target. In a bucket of up to
+``BUCKET`` nodes all meet each other; each such pair is verified on whole shingle sets. The nodes of larger buckets are compared
+by an exact prefix-filter join in blocks (``crowds``), which finds every link among them and needs no row per pair. Links form
+components: the classes.
 
 Null texts count as empty; texts without words are all alike. Rows are told apart by id and text, repeated rows share a
 class. Empty input gives no rows.
@@ -24,6 +22,7 @@ from pyspark.sql import functions as F
 
 from briefloom.llm import shingles as sh
 from briefloom.llm.common import components, stored, text_of
+from briefloom.llm.crowds import crowd_links, meetings
 
 #: Trees of the forest, longest prefix, recall wanted of pairs at the similarity, nodes of a bucket that all meet each other.
 TREES, LONGEST, TARGET_RECALL, BUCKET = 16, 8, 0.999, 8
@@ -37,65 +36,39 @@ def prefix_depth(similarity: float = sh.SIMILARITY, trees: int = TREES, target:
     return depth
 
 
-def _signed(rows: list[np.ndarray]) -> list[np.ndarray]:
-    return [r.view(np.int64) for r in rows]
-
-
-def nodes_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Written rows ``id, h, node, near, mid, far``: the node of each text and, per tree, hashes of its prefixes of growing length."""
-    depth, trees = prefix_depth(), TREES
+def nodes_of(docs: DataFrame, text_col: str, id_col: str, similarity: float = sh.SIMILARITY) -> DataFrame:
+    """Written rows ``id, h, node, near``: the node of each text and, per tree, the hash of its prefix."""
+    depth, trees = prefix_depth(similarity), TREES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names, near, mid, far = [], [], [], []
+            names, near = [], []
             for text in batch["text"]:
                 found = sh.shingle_set(text)
                 names.append(sh.set_name(found))
                 values = sh.minhash(found, trees * depth).astype(np.uint64).reshape(trees, depth)
-                # longer prefixes go on with the first values of the next trees
-                longer = np.concatenate([values, np.roll(values, -1, axis=0), np.roll(values, -2, axis=0)], axis=1)
-                total, keys = np.zeros(trees, np.uint64), {}
-                for i in range(LONGEST):
-                    total = sh.mix(total * np.uint64(31) + longer[:, i] + np.uint64(i + 1))
-                    keys[i + 1] = total
-                near.append(keys[depth])
-                mid.append(keys[(depth + LONGEST) // 2])
-                far.append(keys[LONGEST])
-            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "node": names, "near": _signed(near), "mid": _signed(mid), "far": _signed(far)})
+                total = np.zeros(trees, np.uint64)
+                for i in range(depth):
+                    total = sh.mix(total * np.uint64(31) + values[:, i] + np.uint64(i + 1))
+                near.append(total.view(np.int64))
+            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "node": names, "near": near})
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    return stored(rows.mapInPandas(run, f"id {id_type}, h long, node binary, near array<long>, mid array<long>, far array<long>"), "nodes")
-
-
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of nodes that the forest brings together, from ``(node, near, mid, far)``."""
-    places = nodes.dropDuplicates(["node"]).select("node", F.posexplode(F.arrays_zip("near", "mid", "far")).alias("tree", "k"))
-    places = places.select("node", *[F.xxhash64("tree", f"k.{c}").alias(c) for c in ("near", "mid", "far")])
-    sizes = places.groupBy("near").count().where("count > 1")
-    met = stored(places.join(sizes, "near"), "met")  # nodes alone in a tree's bucket are gone
-    fame = met.groupBy("node").agg(F.sum("count").alias("fame"))
-    met = met.join(fame, "node")
-    levels = [met.select("node", "fame", F.col("near").alias("key"), F.col("count").alias("size"), "mid", "far")]
-    for deeper, rest in (("mid", ["far"]), ("far", [])):
-        big = levels[-1].where(F.col("size") > BUCKET).drop("size", "key")
-        count = big.groupBy(deeper).count().where("count > 1")
-        levels.append(big.join(count, deeper).select("node", "fame", F.col(deeper).alias("key"), F.col("count").alias("size"), *rest))
-    groups = [g.select("node", "fame", "key", "size") for g in levels]
-    few = groups[0].union(groups[1]).union(groups[2]).where(F.col("size") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("m"))
-    pairs = few.select(F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, BUCKET), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-    many = groups[0].union(groups[1]).union(groups[2]).where(F.col("size") > BUCKET).select("node", "fame", "key")
-    leaders = many.groupBy("key").agg(F.max(F.struct("fame", "node")).alias("first"), F.min(F.struct(F.xxhash64("node", "key"), "node")).alias("second"))
-    leaders = leaders.select("key", F.array_distinct(F.array("first.node", "second.node")).alias("leaders"))
-    stars = many.select("node", "key").join(leaders, "key").select("node", F.explode("leaders").alias("leader")).where(F.col("node") != F.col("leader"))
-    return pairs.union(stars.select(F.least("node", "leader"), F.greatest("node", "leader"))).distinct()
+    return stored(rows.mapInPandas(run, f"id {id_type}, h long, node binary, near array<long>"), "nodes")
+
+
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and crowd (``crowds.meetings``) of the nodes that the forest brings together, from ``(node, near)``."""
+    places = nodes.dropDuplicates(["node"]).select("node", F.posexplode("near").alias("tree", "k"))
+    return meetings(places.select("node", F.xxhash64("tree", "k").alias("key")), BUCKET)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose ``sets(node, shingles)`` have at least the similarity, with it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = np.array([sh.jaccard(x, y) for x, y in zip(batch["sa"], batch["sb"], strict=True)], dtype=np.float64)
+            values = np.array([sh.jaccard(x, y, similarity) for x, y in zip(batch["sa"], batch["sb"], strict=True)], dtype=np.float64)
             yield batch[["a", "b"]].assign(similarity=values)[values >= similarity]
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -119,18 +92,21 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """One row per input row: ``id, h, class_key, class_id, class_size, n_links``.
 
     ``class_id`` is the least id of the class. ``n_links`` counts the other rows that the row is linked to directly: those
-    with the same shingles and those of nodes with a verified link; in buckets of over ``BUCKET`` nodes not all pairs are tried.
+    with the same shingles and those of nodes with a verified link.
     """
-    rows = nodes_of(docs, text_col, id_col)
-    pairs = stored(candidate_pairs(rows.select("node", "near", "mid", "far")), "pairs")
+    rows = nodes_of(docs, text_col, id_col, similarity)
+    pairs, crowd = candidates(rows.select("node", "near"))
+    pairs = stored(pairs, "pairs")
     copies = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h")).alias("rep"))
     copies = stored(copies.select("node", "copies", F.col("rep.id").alias("id"), F.col("rep.h").alias("h")), "copies")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(crowd.select("node")).distinct()
     sets = shingle_sets(docs, copies.join(ends, "node", "left_semi"), text_col, id_col)
     links = stored(verified(pairs, sets, similarity).select("a", "b"), "links")
+    dense = crowd_links(crowd.join(copies.select("node", "copies"), "node"), sets, similarity)
     both = links.union(links.select("b", "a"))
-    degree = both.join(copies.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    known = copies.join(components(links), "node", "left").join(degree, "node", "left")
+    degree = both.join(copies.select(F.col("node").alias("b"), "copies"), "b").select(F.col("a").alias("node"), F.col("copies").alias("others"))
+    degree = degree.union(dense.select("node", "others")).groupBy("node").agg(F.sum("others").alias("others"))
+    known = copies.join(components(links.union(dense.select("node", "root"))), "node", "left").join(degree, "node", "left")
     known = stored(known.select("node", "copies", "id", F.coalesce("root", "node").alias("root"), F.coalesce("others", F.lit(0)).alias("others")), "known")
     classes = known.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = known.join(classes, "root").select("node", "root", "class_id", "class_size", (F.col("others") + F.col("copies") - 1).alias("n_links"))

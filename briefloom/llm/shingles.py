@@ -109,12 +109,12 @@ def minhash(shingles: np.ndarray, count: int, seed: int = 5) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Exact Jaccard similarity of two stored sets; two empty sets are equal."""
+def jaccard(a: bytes, b: bytes, least: float = SIMILARITY) -> float:
+    """Exact Jaccard similarity of two stored sets, or a bound under ``least``; two empty sets are equal."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) and not len(y):
         return 1.0
-    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
         return min(len(x), len(y)) / max(len(x), len(y))  # an upper bound, already too low
     both = len(x) + len(y) - len(np.union1d(x, y))
     return both / (len(x) + len(y) - both)

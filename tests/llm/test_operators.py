@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,52 @@ def test_near_duplicates_against_brute_force(spark, docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def filled_templates(n, words, fields, values, seed=3):
+    rng = np.random.default_rng(seed)
+    base = [f"t{i}" for i in range(words)]
+    at = np.linspace(3, words - 4, fields).astype(int)
+    out = []
+    for pick in rng.integers(0, values, (n, fields)):
+        for a, v in zip(at, pick):
+            base[a] = f"v{a}x{v}"
+        out.append(" ".join(base))
+    return out
+
+
+def links_by_brute_force(texts, similarity=0.8):
+    sets = [sh.shingle_set(t) for t in texts]
+    vocab = np.unique(np.concatenate(sets))
+    held = np.zeros((len(sets), len(vocab)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, np.searchsorted(vocab, s)] = 1
+    common, size = held @ held.T, held.sum(axis=1)
+    links = common / (size[:, None] + size - common) >= similarity
+    np.fill_diagonal(links, False)
+    root, left = np.arange(len(sets)), True
+    while left:
+        least = np.minimum(root, np.where(links, root, len(sets)).min(axis=1))
+        left, root = bool((least != root).any()), least
+    return links, root
+
+
+@pytest.mark.parametrize("values", [10, 4])
+def test_filled_templates_against_brute_force(spark, values):
+    texts = filled_templates(2000, 200, 8, values)
+    links, root = links_by_brute_force(texts)
+    got = {r["id"]: r for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["n_links"] for i in range(2000)] == links.sum(axis=1).tolist()
+    assert [got[i]["class_id"] for i in range(2000)] == root.tolist()
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.9])
+def test_similarity_is_passed_through(spark, similarity):
+    texts = filled_templates(300, 100, 4, 6) + [LONG, NEAR, " ".join(LONG.split()[:75]), " ".join(LONG.split()[:112])]
+    links, root = links_by_brute_force(texts, similarity)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r for r in jaccard.near_duplicates(docs, similarity=similarity).collect()}
+    assert [(got[i]["n_links"], got[i]["class_id"]) for i in range(len(texts))] == list(zip(links.sum(axis=1).tolist(), root.tolist()))
+
+
 def test_edited_fingerprints(docs, none):
     rows = fingerprints.edited_fingerprints(docs).collect()
     assert len(rows) == len(ROWS)
