@@ -6,7 +6,8 @@ verified on whole sets. So that a passage inside a longer line, or across lines,
 paragraphs of their own, compared by their exact words: of every ``WINDOW`` neighbouring runs the one of least hash. Equal passages
 of ``MIN_WORDS + WINDOW - 1`` = 50 words hold a whole window, so they share a run wherever they stand.
 
-In buckets of over ``BUCKET`` nodes each node meets the bucket's leaders instead of all others. A cluster is reported if it reaches
+In buckets of up to ``BUCKET`` nodes all lines meet each other; the lines of larger buckets are compared by an exact prefix-filter join
+in blocks (``crowds``), which finds every pair among them. A cluster is reported if it reaches
 two documents or more; its first paragraph, by id and start, is kept and the others are removals. Null and empty texts have no
 paragraphs. A repeated row (same id and text) is one document. Empty input gives no rows.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from briefloom.llm import shingles as sh
 from briefloom.llm.common import components, stored, text_of
+from briefloom.llm.crowds import crowd_links, meetings
 from briefloom.llm.jaccard import verified
 
 #: Words of a paragraph, at least; bands and values per band; nodes of a bucket that all meet each other; neighbouring runs of which one is taken.
@@ -124,21 +126,6 @@ def paragraphs_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return stored(rows.mapInPandas(run, f"id {id_type}, h long, kind string, start long, end long, node binary, bands array<long>"), "paragraphs")
 
 
-def banded_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of ``nodes(node, bands)`` that share a band."""
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").count().where("count > 1").withColumnRenamed("count", "size")
-    met = stored(keys.join(sizes, "key"), "bands")
-    met = met.join(met.groupBy("node").agg(F.sum("size").alias("fame")), "node")
-    few = met.where(F.col("size") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("m"))
-    pairs = few.select(F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, BUCKET), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-    many = met.where(F.col("size") > BUCKET)
-    leaders = many.groupBy("key").agg(F.max(F.struct("fame", "node")).alias("x"), F.min(F.struct(F.xxhash64("node", "key"), "node")).alias("y"))
-    stars = many.join(leaders.select("key", F.array_distinct(F.array("x.node", "y.node")).alias("leaders")), "key").select("node", F.explode("leaders").alias("leader"))
-    stars = stars.where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    return pairs.union(stars).distinct()
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Written ``(node, shingles)`` of ``wanted(node, id, h, start, end)``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,10 +150,12 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "do
     lines = every.where("kind = 'line'")
     nodes = lines.groupBy("node").agg(F.min(where).alias("rep"), F.first("bands").alias("bands"))
     nodes = stored(nodes.select("node", "rep.*", "bands"), "lines")
-    pairs = stored(banded_pairs(nodes.select("node", "bands")), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    pairs, crowd = meetings(nodes.select("node", F.explode("bands").alias("key")), BUCKET)
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(crowd.select("node")).distinct()
     sets = _sets(docs, nodes.drop("bands").join(ends, "node", "left_semi"), text_col, id_col)
-    roots = stored(components(verified(pairs, sets, sh.SIMILARITY).select("a", "b")), "roots")
+    dense = crowd_links(crowd.withColumn("copies", F.lit(1).cast("long")), sets, sh.SIMILARITY)
+    roots = stored(components(verified(pairs, sets, sh.SIMILARITY).select("a", "b").union(dense.select("node", "root"))), "roots")
     # lines: clusters of linked nodes; one of a single node counts if two documents hold it
     per_node = lines.groupBy("node").agg(F.min(where).alias("first"), F.max("id").alias("high"))
     per_node = stored(per_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "per-node")

@@ -138,6 +138,14 @@ def test_passages_of_fifty_words_share_a_run(spark):
     assert all(sum(r["kept"] for r in found if r["class_id"] == c) == 1 for c in {r["class_id"] for r in found})
 
 
+def test_filled_lines_against_brute_force(spark):
+    lines = filled_templates(600, 48, 3, 12)  # of 48 words, no 50 equal ones
+    links, root = links_by_brute_force(lines)
+    rows = [(i, f"own{i} word\n{t}\nend{i}") for i, t in enumerate(lines)]
+    found = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'line'").collect()
+    assert {r["doc_id"]: r["first_doc"] for r in found} == {i: r for i, r in enumerate(root.tolist()) if links[i].any()}
+
+
 def test_near_duplicates_against_brute_force(spark, docs, none):
     path = "/root/testdata/sf0.001/documents.parquet"
     texts = spark.read.parquet(path)
