@@ -26,7 +26,7 @@ from briefloom.llm.common import hashed_sample
 LABELLED_PAGES = 2_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 SPACE = re.compile(r"\s+")
 #: Elements whose content is no markup; those without an end tag; blocks.
@@ -35,7 +35,8 @@ VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "ba
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot",
           "caption", "blockquote", "pre", "section", "article", "main", "header", "footer", "nav", "aside", "figure", "figcaption", "form", "fieldset",
           "hr", "address", "body", "html", "head", "details", "summary", "center", "dialog"}
-#: Elements and words of class, id or role that mark what is no content.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements and whole names of class, id or role that mark what is no content.
 OUTSIDE = {"nav", "footer", "aside", "form", "button", "select", "head", "menu", "dialog", "option", "label", "script", "style", "title", "noscript",
            "template", "iframe", "svg", "textarea", "object", "audio", "video", "canvas", "map", "xmp", "noembed"}
 OUTSIDE_NAMES = {"ad", "ads", "adv", "advert", "advertisement", "adverts", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "menu", "nav", "navbar",
@@ -49,9 +50,13 @@ UNSEEN_WORD, UNSEEN_TAG, OUTSIDE_WORD = 0.5, -0.3, -1.5
 
 
 class _Page:
-    """Tokens of one page in order: (kind, block number or None, is tag, inside a marked article) and the blocks' texts."""
+    """Tokens of one page in order: (kind, block number or None, is tag, inside a marked article) and the blocks' texts.
 
-    def __init__(self, source: str):
+    ``shown`` are the numbers of elements that are not left out in spite of their names; ``held`` gives the words of those left out.
+    """
+
+    def __init__(self, source: str, shown: frozenset[int] = frozenset()):
+        self.shown, self.held, self.named, self.number, self.words = shown, {}, [], 0, 0
         self.tokens: list[tuple[str, int, bool, bool]] = []
         self.blocks: list[list[str]] = [[]]
         self.stack: list[tuple[str, bool]] = []
@@ -76,6 +81,8 @@ class _Page:
                     end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
                     at = end.end() if end else n
                     self.close(name)
+        while self.stack:
+            self.pop()
 
     def text(self, piece: str, decode: bool = True) -> None:
         if not piece:
@@ -84,6 +91,7 @@ class _Page:
         if not self.out:
             self.blocks[-1].append(piece)
         words = len(piece.split())
+        self.words += words
         if words:
             kind = "outside" if self.out else f"word:{self.stack[-1][0] if self.stack else 'body'}"
             self.tokens.append((kind, len(self.blocks) - 1, words, self.inside > 0 and not self.out))
@@ -97,6 +105,9 @@ class _Page:
 
     def pop(self) -> None:
         name, out = self.stack.pop()
+        if self.named and self.named[-1][0] > len(self.stack):
+            _, number, before = self.named.pop()
+            self.held[number] = self.words - before
         self.out -= out
         self.inside -= name in INSIDE
 
@@ -124,10 +135,16 @@ class _Page:
         if name == "body":
             while self.stack and self.stack[-1][0] in ("head", "title"):
                 self.pop()
-        names = {w for g in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", "".join(g).lower())}
+        names = {w for g in NAMES.findall(attributes) for w in "".join(g).lower().split()}
+        named = name not in HEADINGS and name not in ("html", "body", *INSIDE) and bool(names & OUTSIDE_NAMES)
+        if named:
+            self.number += 1
+            named = self.number not in self.shown
         lead = name == "header" and not self.inside or name == "header" and not any(x in INSIDE for x, _ in self.stack)
-        out = name not in ("html", "body", *INSIDE) and bool(name in OUTSIDE or lead or names & OUTSIDE_NAMES or HIDDEN.search(attributes))
+        out = name not in ("html", "body", *INSIDE) and bool(name in OUTSIDE or lead or named or HIDDEN.search(attributes))
         self.stack.append((name, out))
+        if named:
+            self.named.append((len(self.stack), self.number, self.words))
         self.out += out
         self.inside += name in INSIDE
 
@@ -143,10 +160,21 @@ class _Page:
                 self.cut()
 
 
+def page_of(source: str) -> _Page:
+    """The page; an element whose name marks it as no content is kept if it holds most of the page's words."""
+    shown: frozenset[int] = frozenset()
+    while True:
+        page = _Page(source, shown)
+        most = {k for k, words in page.held.items() if 2 * words > page.words}
+        if not most:
+            return page
+        shown |= most
+
+
 def count_kinds(source: str) -> dict[str, tuple[int, int]]:
     """Of one labelled page: for each kind of token how many stand inside and outside the marked content."""
     seen: Counter = Counter()
-    for kind, _, words, inside in _Page(source).tokens:
+    for kind, _, words, inside in page_of(source).tokens:
         seen[kind, inside] += words or 1
     return {k: (seen[k, True], seen[k, False]) for k, _ in seen}
 
@@ -168,7 +196,7 @@ def weights_from(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 
 def main_text(source: str | None, weights: dict[str, float]) -> str:
     """Text of the region of greatest sum, a block a line."""
-    page = _Page(source or "")
+    page = page_of(source or "")
     best, start, total, found = 0.0, 0, 0.0, None
     for i, (kind, _, words, _) in enumerate(page.tokens):
         if words and kind != "outside":

@@ -249,6 +249,17 @@ def test_main_text(spark):
     assert got == {1: "A & B\nOne two three\nfour five\nsix", 2: "", 3: ""}
 
 
+def test_names_that_only_hold_a_listed_word_are_content():
+    text = " ".join(WORDS[:60])
+    inner = (f'<div class="post-header"><h1>Title here</h1></div><p>{text}</p><h2 id="related-work">Related work</h2><p>{text}</p><h2 class="legal">Law</h2>'
+             f'<section id="side-effects"><p>{text}</p></section><section id="legal-history"><p>{text}</p></section><h2 id="search-methods">Search methods</h2><p>{text}</p>')
+    want = "\n".join(["Title here", text, "Related work", text, "Law", text, text, "Search methods", text])
+    weights = {}
+    assert htmlmain.main_text(f"<body><article>{inner}<div class='x sidebar'>not this</div></article></body>", weights) == want
+    assert htmlmain.main_text(f'<body><div class="content has-sidebar">{inner}</div></body>', weights) == want
+    assert htmlmain.main_text(f'<body><div class="sidebar">not this</div><div class="search">{inner}</div></body>', weights) == want
+
+
 def test_main_text_of_every_page(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in htmlmain.extract(pages, carry=["html"]).collect():
