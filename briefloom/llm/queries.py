@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from briefloom.llm import exact, fingerprints, htmlmain, jaccard, mixing, packing, paragraphs, secret_scan, sharding, toxicity
+from briefloom.llm import exact, fingerprints, htmlmain, jaccard, mixing, packing, paragraphs, quality, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,6 +141,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+QUALITY_SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+one AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+win AS (SELECT r, i, word, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM one WINDOW o AS (PARTITION BY r ORDER BY i)),
+again AS (SELECT r, i, count(*) OVER (PARTITION BY r, word, w2, w3) AS times FROM win WHERE w3 IS NOT NULL),
+inside AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(3) ks(k) WHERE times > 1 GROUP BY r),
+tops AS (SELECT r, max(n) AS n FROM (SELECT r, word, count(*) AS n FROM one GROUP BY r, word) GROUP BY r),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  coalesce(i.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, coalesce(tops.n, 0) AS top_word,
+  len(list_filter(ws, lambda x: regexp_matches(x, '\\p{L}'))) AS lettered, length(regexp_replace(text, '\\P{L}+', '', 'g')) AS letters,
+  length(regexp_replace(text, '\\P{Lu}+', '', 'g')) AS capitals
+  FROM w LEFT JOIN inside i USING (r) LEFT JOIN tops USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * lettered < 7 * n_words
+    OR 10 * capitals > 6 * letters OR 10 * top_word > 3 * n_words OR 2 * n_dup_lines > n_lines) AS kept FROM b
+"""
+
+
+@query("op12_quality_cascade", QUALITY_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = quality.judge(docs, quality.cascade(docs), ["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
