@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from briefloom.llm import exact, fingerprints, htmlmain, jaccard, mixing, packing, paragraphs, quality, secret_scan, sharding, toxicity
+from briefloom.llm import exact, fingerprints, htmlmain, jaccard, mixing, packing, paragraphs, quality, secret_scan, sharding, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,6 +141,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+def crc_sql(strings: str) -> str:
+    """CTEs that end in ``crc(s, h)``: the unsigned CRC-32 of each distinct string ``s`` of the relation ``strings(s)``."""
+    return f"""
+bits(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tb FROM bits WHERE k = 8),
+steps(s, x, p, c) AS (SELECT s, hex(encode(s)), 0, 4294967295::BIGINT FROM (SELECT DISTINCT s FROM {strings}) UNION ALL
+  SELECT s, x, p + 1, xor(tb[(xor(c, ('0x' || substr(x, 2 * p + 1, 2))::BIGINT) & 255) + 1], c >> 8) FROM steps, tab WHERE 2 * p < length(x)),
+crc AS (SELECT s, xor(c, 4294967295) AS h FROM steps WHERE 2 * p = length(x))"""
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+long AS (SELECT run, id || ':' || run AS s FROM runs WHERE length(run) >= 6), {crc_sql("long")},
+made AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM long JOIN crc USING (s)),
+w AS (SELECT word, count(*) AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+cuts AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END::BIGINT AS form_n
+  FROM w LEFT JOIN best USING (word)),
+chain(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN roots USING (word)
+"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
 QUALITY_SQL = """
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
