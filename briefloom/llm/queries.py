@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from briefloom.llm import exact, fingerprints, htmlmain, jaccard, mixing, packing, paragraphs, quality, secret_scan, sharding, spelling, toxicity
+from briefloom.llm import exact, fingerprints, htmlmain, jaccard, mixing, packing, paragraphs, prefix_trie, quality, secret_scan, sharding, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,6 +206,35 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+TRIE_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS content, length(coalesce(text, '')) AS chars, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) AS pos FROM t),
+strings AS (SELECT DISTINCT conv_id::VARCHAR AS s FROM own), {crc_sql("strings")},
+ids AS (SELECT o.conv_id, o.n, h % 6 AS h, coalesce(least(h % 6, l.n), 0) AS taken FROM (SELECT conv_id, max(pos) AS n FROM own GROUP BY 1) o
+  JOIN crc ON s = o.conv_id::VARCHAR LEFT JOIN (SELECT conv_id, max(pos) AS n FROM own GROUP BY 1) l ON l.conv_id = o.conv_id - o.conv_id % 100),
+made AS (SELECT i.conv_id, o.pos AS depth, content, chars FROM ids i JOIN own o ON o.conv_id = i.conv_id - i.conv_id % 100 AND o.pos <= i.taken
+  UNION ALL SELECT i.conv_id, i.taken + o.pos - i.h, content, chars FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.pos > i.h),
+paths AS (SELECT *, sha256(string_agg(content, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM made
+  UNION ALL SELECT conv_id, 0, NULL, 0, '' FROM ids),
+named AS (SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM paths),
+nodes AS (SELECT path, min(conv_id) AS conv_id, min(depth) AS depth, min(parent) AS parent, min(chars) AS chars, count(*) AS n_convs,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM named GROUP BY path),
+kids AS (SELECT parent AS path, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+sums AS (SELECT a.path, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved
+  FROM nodes x LEFT JOIN kids k ON k.path = x.path JOIN paths a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY 1)
+SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM nodes x LEFT JOIN nodes p ON p.path = x.parent LEFT JOIN kids k ON k.path = x.path JOIN sums ON sums.path = x.path
+"""
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
