@@ -129,7 +129,8 @@ TABLE_SCHEMA = "d1 long, d2 long, conv_id long, depth long, p1 long, p2 long, pa
 
 
 def node_table(rows: pd.DataFrame) -> pd.DataFrame:
-    """Children, leaves and saved characters of the nodes of one shard, with what hangs from them outside it (``more_*``)."""
+    """Children, leaves and saved characters of the nodes of one shard, with what hangs from them outside it (``more_*``);
+    nodes ``cut_off`` are linked to no parent in the table."""
     k1, k2 = rows["d1"].to_numpy(np.int64), rows["d2"].to_numpy(np.int64)
     table = Slots(k1, k2)
     at = table.slot
@@ -141,7 +142,7 @@ def node_table(rows: pd.DataFrame) -> pd.DataFrame:
         out[at] = values
         return out
     depth, conv = scatter(rows["depth"].to_numpy(np.int64)), scatter(rows["conv_id"].to_numpy(np.int64))
-    parent[depth == 0] = -1
+    parent[scatter(rows["cut_off"].to_numpy(np.int64)) == 1] = -1
     inside = parent >= 0
     children = scatter(rows["more_children"].to_numpy(np.int64)) + np.bincount(parent[inside], minlength=len(rows))
     leaves = scatter(rows["more_leaves"].to_numpy(np.int64)) + (children == 0)
@@ -201,10 +202,12 @@ def trie(conversations: DataFrame, subtree_turns: int = SUBTREE_TURNS, shard_nod
     left = F.col("size") - F.col("depth")
     piece = F.when(F.col("alike"), F.floor(left / subtree_turns)).otherwise(0)
     open_end = F.col("alike") & (left > 0) & (left % subtree_turns == 0)
+    hangs = F.col("depth") == F.col("cut.depth")
+    begins = F.col("alike") & ~hangs & ((left + 1) % subtree_turns == 0)
     more = lambda c: F.when(open_end, c).otherwise(0).cast("long")
     sub = nodes.where("NOT heavy").join(cuts, "conv_id").select(
         F.pmod(F.xxhash64("cut.d1", "cut.d2", piece), F.lit(-(-n_nodes // shard_nodes) or 1)).alias("shard"), "d1", "d2", "p1", "p2", "conv_id",
-        F.col("depth").cast("long").alias("depth"), "n_convs", "chars", (F.col("depth") == F.col("cut.depth")).alias("hangs"),
+        F.col("depth").cast("long").alias("depth"), "n_convs", "chars", hangs.alias("hangs"), (hangs | begins).cast("long").alias("cut_off"),
         more(F.lit(1)).alias("more_children"), more(F.lit(1)).alias("more_leaves"), more((F.col("n_convs") - 1) * (F.col("whole") - F.col("run"))).alias("more_saved"))
     tables = sub.groupBy("shard").applyInPandas(lambda part: node_table(part).assign(hangs=part["hangs"].to_numpy()), TABLE_SCHEMA + ", hangs boolean")
     tables = stored(tables, "tables")
@@ -215,7 +218,7 @@ def trie(conversations: DataFrame, subtree_turns: int = SUBTREE_TURNS, shard_nod
     root = ids.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").select(
         zero.alias("d1"), zero.alias("d2"), zero.alias("p1"), zero.alias("p2"), "conv_id", zero.alias("depth"), "n_convs", zero.alias("chars"))
     top = nodes.where("heavy").select("d1", "d2", "p1", "p2", "conv_id", F.col("depth").cast("long").alias("depth"), "n_convs", "chars").unionByName(root)
-    top = top.join(hanging, ["d1", "d2"], "left").fillna(0, ["more_children", "more_leaves", "more_saved"])
+    top = top.withColumn("cut_off", (F.col("depth") == 0).cast("long")).join(hanging, ["d1", "d2"], "left").fillna(0, ["more_children", "more_leaves", "more_saved"])
     top = stored(top.withColumn("table", F.lit(0)).groupBy("table").applyInPandas(node_table, TABLE_SCHEMA), "top")
 
     above = top.select(F.col("d1").alias("p1"), F.col("d2").alias("p2"), F.col("conv_id").alias("above"))
