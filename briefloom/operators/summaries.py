@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, segmenting
-from ..functions.columns import bind, squeeze, strip
+from ..functions.columns import bind, strip
+from ..plans.placement import work_dir
+from . import graph_rank
 
 
 def score_of(sentence: Column) -> Column:
@@ -46,91 +45,45 @@ def lead_summary(df: DataFrame, n: int = 6, text: str = "text") -> DataFrame:
     return df.withColumn("lead_summary", F.array_join(F.slice(segmenting.sentences_raw(F.col(text)), 1, n), " "))
 
 
-_BLOCK = 1024
-
-
-def rank_by_similarity(sentences: list[str], iterations: int, damping: float = 0.85) -> np.ndarray:
-    """Importance of each sentence on the graph weighted by shared words over summed log lengths."""
-    index: dict[str, int] = {}
-    rows, cols = [], []
-    for i, s in enumerate(sentences):
-        for w in set(re.findall(r"\w+", s.lower())):
-            rows.append(i)
-            cols.append(index.setdefault(w, len(index)))
-    n = len(sentences)
-    sizes = np.bincount(np.asarray(rows, dtype=np.int64), minlength=n).astype(float)
-    logs = np.log(np.maximum(sizes, 1.0))
-    rows, cols = np.asarray(rows), np.asarray(cols)
-    bounds = np.searchsorted(rows, np.arange(n + 1))
-
-    def block(a: int, b: int) -> np.ndarray:
-        part = np.zeros((b - a, len(index)), dtype=np.float32)
-        part[rows[bounds[a]:bounds[b]] - a, cols[bounds[a]:bounds[b]]] = 1
-        shared = np.empty((b - a, n))
-        for c in range(0, n, _BLOCK):
-            d = min(c + _BLOCK, n)
-            other = np.zeros((d - c, len(index)), dtype=np.float32)
-            other[rows[bounds[c]:bounds[d]] - c, cols[bounds[c]:bounds[d]]] = 1
-            shared[:, c:d] = part @ other.T
-        scale = logs[a:b, None] + logs[None, :]
-        weights = np.divide(shared, scale, out=np.zeros_like(shared), where=scale > 0)
-        weights[np.arange(b - a), np.arange(a, b)] = 0.0
-        total = weights.sum(axis=1, keepdims=True)
-        return np.divide(weights, total, out=np.zeros_like(weights), where=total > 0)
-
-    spans = [(a, min(a + _BLOCK, n)) for a in range(0, n, _BLOCK)]
-    held = [block(a, b) for a, b in spans] if n <= 4 * _BLOCK else None  # longer texts recompute their blocks
-    score = np.full(n, 1.0 / n)
-    for _ in range(iterations):
-        spread = np.zeros(n)
-        for k, (a, b) in enumerate(spans):
-            spread += score[a:b] @ (held[k] if held else block(a, b))
-        score = (1 - damping) / n + damping * spread
-    return score
-
-
-def _graph_summary(n: int, iterations: int):
-    @F.pandas_udf("string")
-    def summarize(sentences: pd.Series) -> pd.Series:
-        def one(xs) -> str:
-            xs = list(xs) if xs is not None else []
-            if len(xs) <= n:
-                return " ".join(xs)
-            score = np.round(rank_by_similarity(xs, iterations), 12)
-            best = sorted(range(len(xs)), key=lambda i: (-score[i], i))[:n]
-            return " ".join(xs[i] for i in sorted(best))
-        return sentences.map(one)
-    return summarize
-
-
-def graph_summary(c: Column, n: int, iterations: int = 20) -> Column:
-    return _graph_summary(n, iterations)(segmenting.sentences_raw(squeeze(c)))
-
-
 def graph_rank_summary(df: DataFrame, n: int = 6, iterations: int = 20, text: str = "text") -> DataFrame:
-    """Adds ``graph_summary``: the ``n`` sentences ranked highest by similarity, in text order.
+    """Adds ``graph_summary``: the ``n`` sentences ranked highest on the graph of shared words, in text order.
 
-    Similarity is dense within a text, so it is computed as matrix blocks in the
-    task holding the text instead of joining every sentence pair.
+    Rows are numbered, so repeated rows and null keys each keep their own summary.
     """
-    return df.withColumn("graph_summary", graph_summary(F.col(text), n, iterations))
+    held = numbered(df)
+    made = graph_rank.summarize(held.select("uid", F.col(f"row.{text}").alias("text")), n, iterations)
+    return held.join(made.withColumnRenamed("summary", "graph_summary"), "uid").select("row.*", "graph_summary")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``uid, row`` of every row; written, so the numbers stay when a task is run again."""
+    path = f"{work_dir(df.sparkSession)}/rows"
+    df.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def reduce_summaries(chunks: DataFrame, fan_in: int = 6, iterations: int = 20) -> DataFrame:
-    """Summary per document from its chunks: 3 sentences per chunk, then groups of ``fan_in`` to 4 sentences until
-    one is left. Each level joins at most ``fan_in`` short summaries per group."""
-    kept = chunks.filter(F.length(strip(F.col("chunk_text"))) > 0)  # blank chunks are skipped and the rest numbered anew
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")) - 1
-    level = kept.select("doc_id", place.alias("i"), graph_summary(F.col("chunk_text"), 3, iterations).alias("t"))
-    sizes = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n")).first()[0] or 1
-    level = level.join(sizes, "doc_id")
-    while most > 1:
-        level = level.groupBy("doc_id", F.floor(F.col("i") / fan_in).alias("i"), "n").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("i").alias("p"), F.col("t").alias("t")))),
-                                     lambda x: x["t"]), " ").alias("joined"))
-        level = level.select("doc_id", "i", F.ceil(F.col("n") / fan_in).alias("m"), F.when(
-            F.col("n") == 1, F.col("joined")).otherwise(graph_summary(F.col("joined"), 4, iterations)).alias("t")
-        ).withColumnRenamed("m", "n")
-        most = -(-most // fan_in)
-    return level.select("doc_id", F.col("t").alias("summary"))
+    """Summary per document from its chunks: 3 sentences per chunk, then groups of ``fan_in`` to 4 sentences until one is left.
+
+    Blank chunks are skipped and the rest numbered anew; a document of blank chunks alone has no row. Only documents that
+    still have several texts take part in a level, so the number of levels grows with the logarithm of the longest.
+    """
+    spark = chunks.sparkSession
+    kept = chunks.where(F.length(strip(F.col("chunk_text"))) > 0)
+    order = Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_text")
+    kept = kept.select("doc_id", (F.row_number().over(order) - 1).alias("i"), F.col("chunk_text").alias("t"))
+    level, done, keep = kept, [], 3
+    while True:
+        held = numbered(level)
+        made = graph_rank.summarize(held.select("uid", F.col("row.t").alias("text")), keep, iterations)
+        path = f"{work_dir(spark)}/level"
+        held.join(made, "uid").select("row.doc_id", "row.i", F.col("summary").alias("t")).write.parquet(path)
+        level = spark.read.parquet(path)
+        level = level.withColumn("more", F.count("*").over(Window.partitionBy("doc_id")) > 1)
+        done.append(level.where("NOT more").select("doc_id", F.col("t").alias("summary")))
+        level = level.where("more")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        group = F.array_sort(F.collect_list(F.struct("i", "t")))
+        level = level.groupBy("doc_id", F.floor(F.col("i") / fan_in).cast("int").alias("i")).agg(F.array_join(F.transform(group, lambda x: x["t"]), " ").alias("t"))
+        keep = 4

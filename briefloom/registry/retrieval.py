@@ -14,7 +14,7 @@ from . import query
 from .clauses import ranked
 from .entities import entities
 from .risks import norm_risks
-from .segments import d_sentences, d_sentences_raw, longs
+from .segments import d_grouped, d_sentences, d_sentences_raw, d_words, longs
 from .sql import ieee_round, text, view, with_views
 
 
@@ -183,14 +183,50 @@ def lead_summary(spark, d):
     return sm.lead_summary(samples.documents(spark, d)).drop("text")
 
 
-@query("graph_rank_summary_h7")
+def d_ranked(name: str, source: str, keep: int, rounds: int = 20) -> str:
+    """CTEs that end in ``{name}(uid, summary)``: the ranking formula over ``source(uid, text)``, pair by pair."""
+    r = name + "_"
+    ctes = [f"{r}t AS MATERIALIZED (SELECT uid, {d_sentences('text')} AS l FROM {source})",
+            f"{r}s AS MATERIALIZED (SELECT uid, len(l) AS n, unnest(range(len(l))) AS i, unnest(l) AS sentence FROM {r}t WHERE len(l) > {keep})",
+            rf"{r}w AS (SELECT uid, i, ln(greatest(len(ws), 1)) AS lg, unnest(ws) AS w FROM (SELECT uid, i, list_distinct(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]+')) AS ws FROM {r}s))",
+            f"{r}e AS MATERIALIZED (SELECT a.uid, a.i, b.i AS j, count(*) / (a.lg + b.lg) AS wt FROM {r}w a JOIN {r}w b ON a.uid = b.uid AND a.w = b.w AND a.i <> b.i "
+            f"WHERE a.lg + b.lg > 0 GROUP BY a.uid, a.i, b.i, a.lg, b.lg)",
+            f"{r}p AS MATERIALIZED (SELECT uid, i, j, wt / sum(wt) OVER (PARTITION BY uid, i) AS part FROM {r}e)",
+            f"{r}r0 AS (SELECT uid, i, n, CAST(1.0 AS DOUBLE) / n AS score FROM {r}s)"]
+    ctes += [f"{r}r{k} AS MATERIALIZED (SELECT o.uid, o.i, o.n, CAST(0.15 AS DOUBLE) / o.n + CAST(0.85 AS DOUBLE) * coalesce(g, 0) AS score FROM {r}r{k - 1} o LEFT JOIN "
+             f"(SELECT e.uid, e.j AS i, sum(part * score) AS g FROM {r}p e JOIN {r}r{k - 1} x ON x.uid = e.uid AND x.i = e.i GROUP BY 1, 2) q ON q.uid = o.uid AND q.i = o.i)"
+             for k in range(1, rounds + 1)]
+    ctes += [f"{r}b AS (SELECT uid, i, row_number() OVER (PARTITION BY uid ORDER BY round(score, 12) DESC, i) AS place FROM {r}r{rounds})",
+             f"{name} AS MATERIALIZED (SELECT uid, coalesce(string_agg(sentence, ' ' ORDER BY i), '') AS summary FROM {r}b JOIN {r}s USING (uid, i) WHERE place <= {keep} GROUP BY uid "
+             f"UNION ALL SELECT uid, array_to_string(l, ' ') FROM {r}t WHERE len(l) <= {keep})"]
+    return ",\n".join(ctes)
+
+
+@query("graph_rank_summary_h7", "WITH rows AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text FROM documents),\n" + d_ranked("made", "rows", 6)
+       + " SELECT doc_id, summary AS graph_summary FROM rows JOIN made USING (uid)")
 def graph_rank_summary(spark, d):
     return sm.graph_rank_summary(samples.documents(spark, d)).drop("text")
 
 
-@query("reduce_summaries_h8")
-def reduce_summaries(spark, d):
-    chunks = samples.documents(spark, d).select("doc_id", F.posexplode(segmenting.word_windows(F.col("text"), 150)).alias("chunk_index", "chunk_text"))
-    return sm.reduce_summaries(chunks)
+_WINDOWS = 150
+#: Levels of the SQL: enough for 6 ** 3 chunks a document.
+_LEVELS = 3
+
 
+def d_levels() -> str:
+    """Chunk summaries, then groups of six summarised again until a document has one."""
+    ctes = [f"chunks AS (SELECT doc_id, i, t, row_number() OVER () AS uid FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (SELECT doc_id, {d_grouped('w', _WINDOWS)} AS l "
+            f"FROM (SELECT doc_id, {d_words('text')} AS w FROM documents))))",
+            "in0 AS (SELECT uid, t AS text FROM chunks)", d_ranked("out0", "in0", 3),
+            "l0 AS (SELECT doc_id, i, summary AS t, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks JOIN out0 USING (uid))"]
+    for k in range(1, _LEVELS + 1):
+        ctes += [f"g{k} AS (SELECT row_number() OVER () AS uid, doc_id, i, t FROM (SELECT doc_id, i // 6 AS i, string_agg(t, ' ' ORDER BY i) AS t FROM l{k - 1} WHERE n > 1 GROUP BY 1, i // 6))",
+                 f"in{k} AS (SELECT uid, t AS text FROM g{k})", d_ranked(f"out{k}", f"in{k}", 4),
+                 f"l{k} AS (SELECT doc_id, i, summary AS t, count(*) OVER (PARTITION BY doc_id) AS n FROM g{k} JOIN out{k} USING (uid))"]
+    return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(f"SELECT doc_id, t AS summary FROM l{k} WHERE n = 1" for k in range(_LEVELS + 1))
 
+
+@query("reduce_summaries_h8", d_levels())
+def reduce_summaries(spark, d):
+    chunks = samples.documents(spark, d).select("doc_id", F.posexplode(segmenting.word_windows(F.col("text"), _WINDOWS)).alias("chunk_index", "chunk_text"))
+    return sm.reduce_summaries(chunks)

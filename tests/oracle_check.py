@@ -68,7 +68,7 @@ def compare(spark, con, sf_dir, fn, sql):
 def session(name="briefloom check"):
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]").appName(name)
-         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "16g").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     return s

@@ -1,13 +1,15 @@
 """Small inputs with expected values, and random inputs against the plain models."""
 
+import math
 import random
+import re
 
 import models
 import pytest
 from pyspark.sql import functions as F
 
 from briefloom.functions import cleaning, columns, fixed, headings, segmenting
-from briefloom.operators import clauses, entities, jobs, labels, mention_review, retrieval, risks, segments, summaries
+from briefloom.operators import clauses, entities, graph_rank, jobs, labels, mention_review, retrieval, risks, segments, summaries
 from briefloom.plans import briefing, placement
 from briefloom.sources import tables
 from briefloom.streaming import live
@@ -317,13 +319,47 @@ def test_extractive_summary_keeps_text_order(spark):
     assert rows == {1: "- The rent shall be Rs.\n- Must pay 5 under Section 3.", 2: ""}
 
 
-def test_graph_summary_blocks_give_the_same_ranking(monkeypatch):
-    import numpy as np
+def ranked_pair_by_pair(sentences, rounds=20):
+    """Scores by the stated formula, every pair compared."""
+    words = [set(re.findall(r"\w+", s.lower())) for s in sentences]
+    n = len(words)
+    w = [[0.0] * n for _ in range(n)]
+    for i in range(n):
+        for j in range(n):
+            scale = math.log(max(1, len(words[i]))) + math.log(max(1, len(words[j])))
+            if i != j and scale > 0:
+                w[i][j] = len(words[i] & words[j]) / scale
+    score = [1 / n] * n
+    for _ in range(rounds):
+        out = [score[j] / sum(w[j]) if sum(w[j]) else 0.0 for j in range(n)]
+        score = [0.15 / n + 0.85 * sum(w[j][i] * out[j] for j in range(n)) for i in range(n)]
+    return score
+
+
+def test_graph_ranking_against_every_pair(spark):
     rnd = random.Random(1)
-    xs = [" ".join(f"w{rnd.randint(0, 30)}" for _ in range(8)) for _ in range(70)]
-    whole = summaries.rank_by_similarity(xs, 20)
-    monkeypatch.setattr(summaries, "_BLOCK", 16)
-    assert np.allclose(whole, summaries.rank_by_similarity(xs, 20)) and abs(whole.sum() - 1) < 1e-6
+    texts = {7: [" ".join(f"w{min(rnd.randint(0, 40), rnd.randint(0, 40))}" for _ in range(rnd.randint(1, 9))) for _ in range(60)],
+             8: ["one", "one", "one two", "two", "", "three four", "One two"], 9: ["same same words"] * 5 + ["alone"]}
+    rows = [(u, i, len(xs), x) for u, xs in texts.items() for i, x in enumerate(xs)]
+    got = {(r["uid"], r["i"]): r["score"] for r in graph_rank.rank_sentences(spark.createDataFrame(rows, "uid long, i int, n int, sentence string")).collect()}
+    want = {(u, i): v for u, xs in texts.items() for i, v in enumerate(ranked_pair_by_pair(xs))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_graph_summary_keeps_every_row(spark):
+    text = "A b c. B c d. C d e. X y. D e f. Q. A b c d e f."
+    df = spark.createDataFrame([(1, text, "u"), (1, text, "u"), (None, text, "v"), (2, None, None), (3, " ", None), (4, "One. Two.", None)], "doc_id int, text string, uid string")
+    rows = summaries.graph_rank_summary(df, 3).collect()
+    assert len(rows) == 6 and {r["uid"] for r in rows} == {"u", "v", None}
+    by_id = {r["doc_id"]: r["graph_summary"] for r in rows}
+    assert by_id[2] == by_id[3] == "" and by_id[4] == "One. Two." and len({r["graph_summary"] for r in rows if r["text"] == text}) == 1
+    assert by_id[1].endswith("A b c d e f.") and summaries.graph_rank_summary(df.limit(0), 3).count() == 0
+
+
+def test_blank_chunks_are_skipped_and_numbered_anew(spark):
+    rows = [(1, 0, " "), (1, 1, "First part."), (1, 2, None), (1, 3, "\n"), (1, 4, "Second part."), (2, 0, " "), (None, 0, "No id."), (None, 1, "Still none.")]
+    out = summaries.reduce_summaries(spark.createDataFrame(rows, "doc_id int, chunk_index int, chunk_text string")).collect()
+    assert {r["doc_id"]: r["summary"] for r in out} == {1: "First part. Second part.", None: "No id. Still none."}
 
 
 def test_reduce_summaries_ends_with_one_per_document(spark):
