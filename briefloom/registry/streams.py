@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import clauses as clause_op
 from ..operators import risks as risk_op
+from ..operators import segments as segment_op
 from ..plans.placement import work_dir
 from ..sources import samples
 from ..streaming import live as op
@@ -25,12 +27,25 @@ def _jobs(spark, d):
                                               F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query("stream_analysis_k1")
+def _paragraphs_ranked(docs):
+    """Clauses of contracts, paragraph by paragraph."""
+    paras = segment_op.paragraphs(docs).select("doc_id", "para_no", F.lit(0).alias("pos"), F.col("paragraph").alias("clause"), F.col("paragraph").alias("full_text"))
+    return clause_op.rank_clauses(clause_op.dedup_clauses(clause_op.describe_clauses(paras)))
+
+
+@query("stream_analysis_k1", with_views("ranked", "SELECT doc_id, para_no, clause_type, risk_level, importance_label, rank FROM ranked"))
 def stream_analysis(spark, d):
+    """Contracts arrive in three files, each a batch: a third with an older text, then the rest, then that third's text of now."""
     out = work_dir(spark)
-    docs = _stream(spark, d, "documents").select("doc_id", "text")
-    op.finished(op.stream_analysis(docs, f"{out}/rows", f"{out}/checkpoint"))
-    return op.latest_documents(spark, f"{out}/rows").select("doc_id", "rank", "clause_type", "risk_level", "importance_label")
+    docs = samples.contract_text(spark, d).select("doc_id", "text")
+    early = F.col("doc_id") % 3 == 0
+    old = F.concat(F.lit("Section 1 Withdrawn\n\nThe tenant shall pay a penalty, and the policy premium is due at once.\n\n"), F.col("text"))
+    for part in (docs.where(early).withColumn("text", old), docs.where(~early), docs.where(early)):
+        part.write.mode("append").parquet(f"{out}/in")
+        arrived = spark.readStream.schema(docs.schema).parquet(f"{out}/in")
+        op.finished(op.stream_analysis(arrived, f"{out}/rows", f"{out}/checkpoint", buckets=8, analyse=_paragraphs_ranked))
+    rows = op.latest_documents(spark, f"{out}/rows").select("doc_id", "para_no", "clause_type", "risk_level", "importance_label", "rank")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("para_no", "rank")})
 
 
 @query("stream_status_k2", with_views("jobs", """SELECT document_id, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS changed_at FROM (
@@ -57,5 +72,5 @@ def stream_dedup(spark, d):
         F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("Event "), "event_type").alias("title"), F.lit("").alias("category"),
         F.lit("").alias("risk_type"), F.col("user_id").cast("string").alias("explanation"))
     signed = risks.select("ts", risk_op.risk_signature().alias("signature"))
-    op.finished(op.stream_dedup(signed, "ts", "400 days", ["signature"], f"{out}/rows", f"{out}/checkpoint"))
+    op.finished(op.stream_dedup(signed, "ts", "7 days", ["signature"], f"{out}/rows", f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/rows").select("signature")

@@ -1,8 +1,10 @@
 """Small inputs with expected values, and random inputs against the plain models."""
 
+import datetime
 import math
 import random
 import re
+import shutil
 
 import models
 import pytest
@@ -404,13 +406,56 @@ def test_score_bands_and_severity(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     texts = [(i, f"The lessee shall pay Rs. {i}00 as rent within {i} days.\n\nThe policy premium is due; damages follow any breach here.") for i in range(1, 7)]
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "doc_id long, text string"
-    spark.createDataFrame(texts[:4], schema).coalesce(1).write.parquet(src)
-    run = lambda: live.finished(live.stream_analysis(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "cp")))
-    run()
-    spark.createDataFrame(texts[4:] + [(1, texts[0][1])], schema).coalesce(1).write.mode("append").parquet(src)
-    run()
-    got = live.latest_documents(spark, out).select("doc_id", "rank", "clause_type").collect()
-    batch = briefing.ranked_clauses(briefing.cleaned(spark.createDataFrame(texts, schema))).select("doc_id", "rank", "clause_type").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
+    src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "doc_id long, text string, version int"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        live.finished(live.stream_analysis(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "cp"), version="version", buckets=4))
+
+    def clause_rows(rows):
+        batch = briefing.ranked_clauses(briefing.cleaned(spark.createDataFrame(rows, schema)).select("doc_id", "text"))
+        return sorted(map(tuple, batch.select("doc_id", "rank", "clause_type", "full_text").collect()))
+
+    current = lambda: sorted(map(tuple, live.latest_documents(spark, out).select("doc_id", "rank", "clause_type", "full_text").collect()))
+    arrive([(*t, 1) for t in texts[:4]])
+    assert current() == clause_rows([(*t, 1) for t in texts[:4]])
+    other = "The landlord must refund the deposit of Rs. 900 within 60 days of expiry of the lease."
+    arrive([(1, other, 3), (1, texts[0][1], 2), (*texts[4], 1), (*texts[5], 1), (None, other, 1)])  # of two versions in a batch the greater stays
+    now = [(1, other, 3)] + [(*t, 1) for t in texts[1:]]
+    assert current() == clause_rows(now)
+    arrive([(2, "", 2)])  # nothing to analyse: what is there stays
+    assert current() == clause_rows(now)
+
+    # a batch run twice, and one that stopped while folders were exchanged
+    new = live.clause_rows(spark.createDataFrame([(3, other, 9)], schema)).persist()
+    live.replace_documents(new, out, 7, buckets=4)
+    once = current()
+    live.replace_documents(new, out, 7, buckets=4)
+    assert current() == once == clause_rows([(3, other, 9) if t[0] == 3 else t for t in now])
+    lost = next((tmp_path / "out" / "current").glob("bucket=*"))
+    shutil.rmtree(next((tmp_path / "out" / "current").glob(next((tmp_path / "out" / "staged" / "batch-7").glob("bucket=*")).name)))
+    live.replace_documents(new, out, 7, buckets=4)
+    assert lost.parent.exists() and current() == once
+    files = list((tmp_path / "out" / "current").glob("bucket=*/*.parquet"))
+    assert len(files) <= 4 and len(list((tmp_path / "out" / "staged").iterdir())) <= 2  # no history to scan
+
+
+def test_stream_dedup_forgets(spark, tmp_path):
+    src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "ts timestamp, signature string, n int"
+    held = []
+
+    def arrive(*rows):
+        day = lambda x: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=x)
+        spark.createDataFrame([(day(d), s, n) for d, s, n in rows], schema).coalesce(1).write.mode("append").parquet(src)
+        q = live.stream_dedup(spark.readStream.schema(schema).parquet(src), "ts", "10 days", ["signature"], out, str(tmp_path / "cp"))
+        live.finished(q)
+        held.append(q.lastProgress.stateOperators[0].numRowsTotal)
+
+    arrive(*[(1, f"s{i}", i) for i in range(50)], (1, "s0", 99))
+    arrive((15, "s1", 100), (15, "new", 101))      # watermark -9 to day 5: s1 is remembered until day 11
+    arrive((40, "later", 102))                     # watermark day 30: all of day 1 and 15 are forgotten
+    arrive((41, "s2", 103), (20, "s3", 104), (20, "late", 105))  # s2 is new again; rows before day 30 are late
+    got = {r["n"] for r in spark.read.parquet(out).collect()}
+    assert {n for n in got if n < 50 or n == 99} >= set(range(1, 50)) and len(got & {0, 99}) == 1
+    assert got & set(range(100, 106)) == {101, 102, 103}
+    assert held[0] == 50 and held[1] == 51 and held[2] < 5 and held[3] < 5
