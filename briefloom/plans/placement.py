@@ -1,4 +1,4 @@
-"""Where rows go: one hash placement per document, bounded broadcasts, and joins that survive hot keys."""
+"""Where rows go: one hash placement per document, and joins that survive hot keys."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000
 HOT_KEYS = 1000
 
 
@@ -22,11 +21,6 @@ def place_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def salted_join(rows: DataFrame, lookup: DataFrame, on: str, salts: int = 32, hot_rows: int = 100_000,
                 how: str = "inner") -> DataFrame:
     """Join many ``rows`` to a ``lookup`` with one row per key when a few keys hold a large share of the rows.

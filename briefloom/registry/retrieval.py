@@ -37,7 +37,7 @@ view("vec", """SELECT vec_id, CAST(label AS BIGINT) AS doc_id, CAST(embedding AS
 view("asked", """SELECT doc_id AS query_id, doc_id, list(x ORDER BY i) AS embedding FROM (SELECT doc_id, i, avg(x) AS x FROM (
  SELECT doc_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM vec) GROUP BY ALL) GROUP BY ALL""", ["vec"])
 view("vec_top", """SELECT query_id, doc_id, vec_id, s, text, importance_label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM (
- SELECT q.query_id, q.doc_id, v.vec_id, v.text, v.importance_label, list_cosine_similarity(q.embedding, v.embedding) AS s FROM asked q JOIN vec v ON v.doc_id = q.doc_id)) WHERE n <= 5""",
+ SELECT q.query_id, q.doc_id, v.vec_id, v.text, v.importance_label, round(list_cosine_similarity(q.embedding, v.embedding), 12) AS s FROM asked q JOIN vec v ON v.doc_id = q.doc_id)) WHERE n <= 5""",
      ["asked", "vec"])
 view("vec_sources", """SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS BIGINT) AS rank, text, round(s, 4) AS score, importance_label
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY s DESC, vec_id) AS t FROM vec_top) WHERE t = 1""", ["vec_top"])
@@ -51,7 +51,7 @@ def vector_topk(spark, d):
 
 @query("vector_topk_by_join_f1", with_views("vec_sources", "SELECT query_id, doc_id, rank, text, score, importance_label FROM vec_sources"))
 def vector_topk_by_join(spark, d):
-    rows = op.vector_topk(vector_questions(spark, d), vectors(spark, d), max_queries=0)
+    rows = op.vector_topk(vector_questions(spark, d), vectors(spark, d), block_rows=7)
     return longs(rows.select("query_id", "doc_id", "rank", "text", "score", "importance_label"), "rank")
 
 

@@ -313,6 +313,40 @@ def test_same_signature_counts_once_across_documents(spark):
     assert risks.risk_summary(docs, df).first().asDict() == {"total_risks": 1, "high_risk_count": 1, "medium_risk_count": 0, "low_risk_count": 0}
 
 
+# --- vectors
+def test_vector_blocks_against_every_pair(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    rows = [(f"{doc}_clause_{i}", doc, rng.integers(-3, 4, 6).astype(float).tolist(), f"text {i % 40}") for doc, n in ((1, 120), (2, 3)) for i in range(n)]
+    rows += [("short", 1, [1.0, 2.0], "short"), ("null", 1, None, "null"), (None, 1, [1.0] * 6, "no id"), ("zero", 2, [0.0] * 6, "zero")]
+    asked = [(q, 1 if q < 90 else 2 if q < 95 else 3, rng.integers(-3, 4, 6).astype(float).tolist()) for q in range(100)] + [(200, 1, [3.0, 1.0]), (201, 1, None), (202, None, [1.0] * 6)]
+    unit = lambda e: np.array(e) / max(np.linalg.norm(e), 1e-300)
+    want = []
+    for q, doc, e in asked:
+        near = sorted((-round(float(unit(e) @ unit(x)), 12), i, t) for i, d, x, t in rows if e and x and i and d == doc and len(x) == len(e))[:5]
+        seen = []
+        for s, i, t in near:
+            if t not in seen:
+                seen.append(t)
+                want.append((q, len(seen), t, round(-s, 4)))
+    vectors = spark.createDataFrame(rows, "vec_id string, doc_id long, embedding array<double>, text string")
+    queries = spark.createDataFrame(asked, "query_id long, doc_id long, embedding array<double>")
+    for block_rows in (4, 1000):
+        got = retrieval.vector_topk(queries, vectors, block_rows=block_rows).select("query_id", "rank", "text", "score").collect()
+        assert sorted((r[0], r[1], r[2], r[3] + 0.0) for r in got) == sorted((q, n, t, s + 0.0) for q, n, t, s in want)
+    assert retrieval.vector_topk(queries.limit(0), vectors).count() == 0
+
+
+def test_stored_vector_rows_are_searched(spark):
+    clauses_ = spark.createDataFrame([(1, r, "payment", "Lessee", f"clause {r}", "Critical" if r == 2 else "Standard") for r in range(1, 12)] + [(2, 1, "notice", "", "other", "Standard")],
+                                     "doc_id long, rank int, clause_type string, responsible_party string, full_text string, importance_label string")
+    vecs = spark.createDataFrame([(1, n, [float(n), 1.0]) for n in range(11)] + [(2, 0, [1.0, 1.0])], "doc_id long, clause_no int, embedding array<double>")
+    stored = retrieval.vector_rows(clauses_, vecs)
+    found = retrieval.vector_topk(spark.createDataFrame([(7, 1, [1.0, 1.0])], "query_id long, doc_id long, embedding array<double>"), stored, k=3).collect()
+    assert [(r["rank"], r["text"], r["importance_label"]) for r in sorted(found, key=lambda r: r["rank"])] == [
+        (1, "clause 2", "Critical"), (2, "clause 3", "Standard"), (3, "clause 4", "Standard")]
+
+
 # --- summaries
 def test_extractive_summary_keeps_text_order(spark):
     text = "Hello there. The rent shall be Rs. 5. Hello there. Must pay 5 under Section 3. Nice day."
