@@ -49,3 +49,11 @@ def work_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="spark-")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder of ``work_dir`` and read again: evaluated once, with no lineage. The folder may be deleted
+    once the result has been read."""
+    path = f"{work_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from ..operators import entities as ent
 from ..operators import labels as label_op
 from ..operators import retrieval as op
 from ..operators import summaries as sm
+from ..plans.placement import written
 from ..sources import samples
 from . import query
 from .clauses import ranked
@@ -101,7 +102,7 @@ def keyword_sources(spark, d):
 WHERE r.severity IN ('high', 'medium') AND length(s.text) > 10 AND (contains(s.text, r.clause_text) OR contains(r.clause_text, s.text))"""))
 def related_risks(spark, d):
     r = norm_risks(spark, d).select("doc_id", "seq", "clause_text", "severity", "risk_type", "explanation")
-    return op.related_risks(keyword_sources(spark, d), r).select("query_id", "doc_id", "seq", "clause_text")
+    return op.related_risks(written(keyword_sources(spark, d), "sources"), r).select("query_id", "doc_id", "seq", "clause_text")
 
 
 @query("context_text_f13", with_views("kw_sources norm_risks", """SELECT query_id, body || coalesce(known, '') AS context FROM (
@@ -111,8 +112,7 @@ def related_risks(spark, d):
   WHERE r.severity IN ('high', 'medium') AND length(s.text) > 10 AND (contains(s.text, r.clause_text) OR contains(r.clause_text, s.text))) GROUP BY query_id) k USING (query_id)"""))
 def context_text(spark, d):
     r = norm_risks(spark, d).select("doc_id", "seq", "clause_text", "severity", "risk_type", "explanation")
-    s = keyword_sources(spark, d)
-    return op.context_text(s, op.related_risks(s, r))
+    return op.grounded_context(keyword_sources(spark, d), r)
 
 
 @query("answer_confidence_g14", with_views("vec_sources", f"""SELECT query_id, {ieee_round("least(CAST(0.98 AS DOUBLE), greatest(CAST(0.1 AS DOUBLE), a + least(CAST(0.15 AS DOUBLE), n * CAST(0.04 AS DOUBLE)) + CASE WHEN crit THEN CAST(0.05 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END))")} AS confidence

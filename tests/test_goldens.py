@@ -347,6 +347,21 @@ def test_stored_vector_rows_are_searched(spark):
         (1, "clause 2", "Critical"), (2, "clause 3", "Standard"), (3, "clause 4", "Standard")]
 
 
+def test_related_risks_against_every_pair(spark):
+    rnd = random.Random(9)
+    words = ["rent", "the", "Lessee", "pays", "late", "fee", "of", "Rs.", "5,"]
+    base = " ".join(rnd.choice(words) for _ in range(60))
+    cut = lambda: base[(a := rnd.randrange(300)):a + rnd.choice([3, 12, 20, 60, 200])]
+    sources = [(q, q % 2, cut()) for q in range(60)] + [(7, 1, base), (8, None, base), (9, 1, "late fee of"), (9, 1, None)]
+    risks_ = [(doc, n, cut(), rnd.choice(["high", "medium", "low"])) for doc in (0, 1) for n in range(40)]
+    risks_ += [(1, 90, "", "high"), (1, 91, None, "high"), (0, 92, base, "medium"), (1, 93, "fee", "high"), (1, 94, "rent\n the", "high")]
+    want = {(q, doc, n) for q, doc, s in sources if s and len(s) > 10 for d, n, t, sev in risks_ if d == doc and t is not None and sev != "low" and (t in s or s in t)}
+    got = retrieval.related_risks(spark.createDataFrame(sources, "query_id long, doc_id long, text string"),
+                                  spark.createDataFrame(risks_, "doc_id long, seq int, clause_text string, severity string"))
+    got = [(r["query_id"], r["doc_id"], r["seq"]) for r in got.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 # --- summaries
 def test_extractive_summary_keeps_text_order(spark):
     text = "Hello there. The rent shall be Rs. 5. Hello there. Must pay 5 under Section 3. Nice day."
