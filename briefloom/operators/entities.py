@@ -62,11 +62,12 @@ def normalize_dates(mentions: DataFrame) -> DataFrame:
 
 # --- mentions in their text ---------------------------------------------------------------
 
-def beside_text(mentions: DataFrame, docs: DataFrame, made, text: str = "text") -> DataFrame:
-    """``made(mention, text, lower_text)`` gives extra columns {name: Column}, evaluated next to the document's text."""
+def beside_text(mentions: DataFrame, docs: DataFrame, made, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``made(mention, text, lower_text)`` gives extra columns {name: Column}, evaluated next to the document's text and the
+    columns ``carry`` of ``docs``."""
     fields = [c for c in mentions.columns if c != "doc_id"]
     packed = place_by(mentions, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_ms"))
-    joined = packed.join(place_by(docs.select("doc_id", F.col(text).alias("_text")), "doc_id"), "doc_id")
+    joined = packed.join(place_by(docs.select("doc_id", F.col(text).alias("_text"), *(carry or [])), "doc_id"), "doc_id")
     names = list(made(F.col("x"), F.col("y"), F.col("z")))
 
     def enrich(m: Column, low: Column) -> Column:
@@ -84,20 +85,26 @@ def _around(t: Column, start: Column, end: Column, n: int) -> Column:
     return F.substring(t, lo + 1, (end + n).cast("int") - lo)
 
 
-def _sentence_at(t: Column, start: Column) -> Column:
-    """Sentence around an offset: back to the last sentence end before it, on to the next one after it."""
-    before = F.substring(t, F.lit(1), start.cast("int"))
-    after = F.substring(t, start.cast("int") + 1, F.length(t))
-    return F.concat(F.element_at(F.split(before, r"[.!?]\s+"), -1), F.get(F.split(after, r"[.!?]\s", 2), F.lit(0)))
+def sentence_breaks(t: Column) -> Column:
+    """Where sentences of a text end: full stops, question and exclamation marks with the blanks behind them, in order."""
+    return F.transform(match_spans(t, r"[.!?]\s+"), lambda r: F.struct(r["start_char"].alias("s"), r["end_char"].alias("e")))
+
+
+def _sentence_at(t: Column, breaks: Column, start: Column) -> Column:
+    """Sentence around an offset: from behind the last break before it to the next one after it."""
+    at = start.cast("int")
+    begin = F.coalesce(F.array_max(F.transform(F.filter(breaks, lambda r: r["s"] + 2 <= at), lambda r: F.least(r["e"], at))), F.lit(0))
+    stop = F.coalesce(F.array_min(F.transform(F.filter(breaks, lambda r: r["s"] >= at), lambda r: r["s"])), F.length(t))
+    return F.substring(t, begin + 1, stop - begin)
 
 
 def _first_listed(text: Column, names: list[str]) -> Column:
     return first_of([(text.contains(n.lower()), n) for n in names])
 
 
-def _role_near(m: Column, t: Column, roles, window: int) -> dict[str, Column]:
+def _role_near(m: Column, t: Column, breaks: Column, roles, window: int) -> dict[str, Column]:
     near = F.coalesce(
-        bind(F.lower(_sentence_at(t, m["start_char"])), lambda s: _first_listed(s, roles)),
+        bind(F.lower(_sentence_at(t, breaks, m["start_char"])), lambda s: _first_listed(s, roles)),
         bind(F.lower(_around(t, m["start_char"], m["end_char"], window)), lambda s: _first_listed(s, roles)))
     return {"role": F.when(m["bucket"] == "parties", near)}
 
@@ -114,7 +121,8 @@ def _money_near(m: Column, t: Column, window: int) -> dict[str, Column]:
 
 def assign_roles(mentions: DataFrame, docs: DataFrame, roles=fixed.ROLES, window: int = 80) -> DataFrame:
     """Adds ``role`` to parties: the first listed role in the mention's sentence, else within ``window`` characters."""
-    return beside_text(mentions, docs, lambda m, t, low: _role_near(m, t, roles, window))
+    marked = docs.withColumn("_breaks", sentence_breaks(F.col("text")))
+    return beside_text(mentions, marked, lambda m, t, low: _role_near(m, t, F.col("_breaks"), roles, window), carry=["_breaks"])
 
 
 def money_context(mentions: DataFrame, docs: DataFrame, window: int = 60) -> DataFrame:
@@ -124,12 +132,12 @@ def money_context(mentions: DataFrame, docs: DataFrame, window: int = 60) -> Dat
 
 # --- entities ------------------------------------------------------------------------------
 
-def pattern_entities(docs: DataFrame, rules=fixed.ENTITY_PATTERNS, text: str = "text") -> DataFrame:
-    """Entities found by fixed patterns, with their character spans in the text."""
+def _pattern_spans(text: Column, rules) -> Column:
+    """array<struct<bucket, start_char, end_char, text>> of all pattern entities of a text, generic words left out."""
     none = F.array().cast("array<struct<bucket:string,start_char:bigint,end_char:bigint,text:string>>")
 
     def spans(bucket: str, pattern: str) -> Column:
-        return F.transform(match_spans(F.col(text), "(?iU)" + pattern), lambda s: F.struct(
+        return F.transform(match_spans(text, "(?iU)" + pattern), lambda s: F.struct(
             F.lit(bucket).alias("bucket"), s["start_char"].cast("long").alias("start_char"),
             s["end_char"].cast("long").alias("end_char"), clean_mention(s["text"]).alias("text")))
 
@@ -142,22 +150,34 @@ def pattern_entities(docs: DataFrame, rules=fixed.ENTITY_PATTERNS, text: str = "
         return F.when(contains_any(low, fixed.ENTITY_PATTERN_WORDS[bucket]), found).otherwise(none)
 
     found = bind(F.lower(text), lambda low: F.concat(*[gated(low, b, p) for b, p in rules]))
-    rows = docs.select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.*")
-    rows = rows.filter(~F.lower("text").isin(*fixed.GENERIC_WORDS))
+    return F.filter(found, lambda e: ~F.lower(e["text"]).isin(*fixed.GENERIC_WORDS))
+
+
+def pattern_entities(docs: DataFrame, rules=fixed.ENTITY_PATTERNS, text: str = "text") -> DataFrame:
+    """Entities found by fixed patterns, with their character spans in the text."""
+    rows = docs.select("doc_id", F.explode(_pattern_spans(F.col(text), rules)).alias("e")).select("doc_id", "e.*")
     null = F.lit(None).cast("string")
     rows = rows.withColumns({"role": null, "money_type": null, "context": null, "source": F.lit("pattern")})
     return entity_confidence(rows).select(*ENTITY)
 
 
-def model_entities(mentions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Entities from model mentions (doc_id, label, text, start_char, end_char)."""
+def _ready_mentions(mentions: DataFrame) -> DataFrame:
+    """Model mentions cleaned, bucketed, with plausible dates only."""
     df = rebucket_legal(clean_mentions(bucket_mentions(mentions)))
     df = df.withColumns({"source": F.lit("model"), "_named": (F.length("text") > 5) & ~F.col("text").rlike(r"(?U)\d")})
-    df = beside_text(normalize_dates(df), docs, lambda m, t, low: {
-        **_role_near(m, t, fixed.ROLES, 80), **_money_near(m, t, 60)})
-    base = F.least(F.lit(0.99), F.lit(0.85) + F.when(F.col("_named"), 0.03).otherwise(0.0))
-    df = df.withColumn("confidence", F.round(base + F.when(F.col("role").isNotNull(), 0.05).otherwise(0.0), 2))
-    return df.select(*ENTITY)
+    return normalize_dates(df)
+
+
+def _confidence(base: float, named: Column, role: Column) -> Column:
+    return F.round(F.least(F.lit(0.99), F.lit(base) + F.when(named, 0.03).otherwise(0.0)) + F.when(role.isNotNull(), 0.05).otherwise(0.0), 2)
+
+
+def model_entities(mentions: DataFrame, docs: DataFrame) -> DataFrame:
+    """Entities from model mentions (doc_id, label, text, start_char, end_char)."""
+    marked = docs.withColumn("_breaks", sentence_breaks(F.col("text")))
+    df = beside_text(_ready_mentions(mentions), marked, lambda m, t, low: {
+        **_role_near(m, t, F.col("_breaks"), fixed.ROLES, 80), **_money_near(m, t, 60)}, carry=["_breaks"])
+    return df.withColumn("confidence", _confidence(0.85, F.col("_named"), F.col("role"))).select(*ENTITY)
 
 
 def dedup_entities(entities: DataFrame) -> DataFrame:
@@ -167,8 +187,38 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
         "_n = 1").drop("_n", "_key")
 
 
+def entities_beside_text(mentions: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, _text, _es``: each document's text with all its entities, model and pattern, the first of each bucket and
+    lower-case text. One exchange of the texts and one of the mentions; everything else happens in the document's row."""
+    fields = ["bucket", "text", "start_char", "end_char", "_named"]
+    packed = place_by(_ready_mentions(mentions), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_ms"))
+    df = place_by(docs.select("doc_id", F.col("text").alias("_text")), "doc_id").join(packed, "doc_id", "left")
+    t, null = F.col("_text"), F.lit(None).cast("string")
+
+    def entity(e: Column, source: str, named: Column, **more: Column) -> Column:
+        role = more.get("role", null)
+        made = {"bucket": e["bucket"], "text": more.get("text", e["text"]), "confidence": _confidence(0.85 if source == "model" else 0.92, named, role),
+                "start_char": e["start_char"], "end_char": e["end_char"], "role": role, "money_type": more.get("money_type", null),
+                "context": more.get("context", null), "source": F.lit(source)}
+        return F.struct(*[made[c].alias(c) for c in ENTITY[1:]])
+
+    def model(breaks: Column) -> Column:
+        return F.transform(F.coalesce("_ms", F.array()), lambda m: entity(
+            m, "model", m["_named"], **_role_near(m, t, breaks, fixed.ROLES, 80), **_money_near(m, t, 60)))
+
+    pattern = F.transform(_pattern_spans(t, fixed.ENTITY_PATTERNS), lambda e: entity(
+        e, "pattern", (F.length(e["text"]) > 5) & ~e["text"].rlike(r"(?U)\d")))
+    keyed = F.transform(F.concat(bind(sentence_breaks(t), model), pattern), lambda e: F.struct(
+        e["bucket"].alias("b"), F.lower(e["text"]).alias("k"), e["source"].alias("s"), e["start_char"].alias("at"), e.alias("e")))
+
+    def first(xs: Column) -> Column:
+        new = F.filter(xs, lambda x, i: (i == 0) | ~bind(F.get(xs, i - 1), lambda y: (y["b"] == x["b"]) & (y["k"] == x["k"])))
+        return F.transform(new, lambda x: x["e"])
+    return materialize(df.select("doc_id", "_text", "_ms"), {"_es": bind(F.array_sort(keyed), first)}).drop("_ms")
+
+
 def all_entities(mentions: DataFrame, docs: DataFrame) -> DataFrame:
-    return dedup_entities(model_entities(mentions, docs).unionByName(pattern_entities(docs)))
+    return entities_beside_text(mentions, docs).select("doc_id", F.inline("_es"))
 
 
 def display_value(entities: DataFrame) -> DataFrame:
@@ -213,16 +263,50 @@ def _relations(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "party", "amount", "type", "relation", "confidence")
 
 
+def _duty(m: Column, low: Column) -> Column:
+    """The first listed duty phrase within 150 characters of the party, up to the sentence end (or offset 100)."""
+    def duty(s: Column) -> Column:
+        at = first_of([(s.contains(p), F.instr(s, F.lit(p))) for p in fixed.DUTY_PHRASES])
+        return bind(at, lambda a: F.when(a > 0, strip(_until_stop(s, a))))
+    return bind(_after_party(m, low, 150), duty)
+
+
+def _risk_phrases(m: Column, low: Column) -> Column:
+    return bind(_after_party(m, low, 200), lambda s: F.filter(F.array(*[F.lit(p) for p in fixed.RISK_PHRASES]), lambda p: s.contains(p)))
+
+
+def _obligations(rows: DataFrame) -> DataFrame:
+    return _relations(rows.filter(F.col("relation").isNotNull()).withColumns({
+        "party": F.col("text"), "amount": F.lit(None).cast("string"), "type": F.lit("obligation"), "confidence": F.lit(0.75)}))
+
+
+def _risks(rows: DataFrame) -> DataFrame:
+    return _relations(rows.withColumn("phrase", F.explode("phrases")).withColumns({
+        "party": F.col("text"), "amount": F.lit(None).cast("string"), "type": F.lit("risk"),
+        "relation": F.concat(F.lit("Associated with "), F.col("phrase")), "confidence": F.lit(0.7)}))
+
+
 def obligation_relations(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """Party and the first listed duty phrase within 150 characters, up to the sentence end (or offset 100)."""
-    def made(m: Column, t: Column, low: Column) -> dict[str, Column]:
-        def duty(s: Column) -> Column:
-            at = first_of([(s.contains(p), F.instr(s, F.lit(p))) for p in fixed.DUTY_PHRASES])
-            return bind(at, lambda a: F.when(a > 0, strip(_until_stop(s, a))))
-        return {"relation": bind(_after_party(m, low, 150), duty)}
-    rows = beside_text(_parties(entities), docs, made).filter(F.col("relation").isNotNull())
-    return _relations(rows.withColumns({"party": F.col("text"), "amount": F.lit(None).cast("string"),
-                                        "type": F.lit("obligation"), "confidence": F.lit(0.75)}))
+    return _obligations(beside_text(_parties(entities), docs, lambda m, t, low: {"relation": _duty(m, low)}))
+
+
+def all_relations(mentions: DataFrame, docs: DataFrame) -> DataFrame:
+    """Obligations, purposes and risks of every document, each relation made in the row that holds text and entities."""
+    df = entities_beside_text(mentions, docs)
+    party = F.filter("_es", lambda e: e["bucket"] == "parties")
+    row = lambda party, amount, kind, relation, confidence: F.struct(
+        party.alias("party"), amount.alias("amount"), F.lit(kind).alias("type"), relation.alias("relation"), F.lit(confidence).alias("confidence"))
+    null = F.lit(None).cast("string")
+
+    def made(low: Column) -> Column:
+        duties = F.filter(F.transform(party, lambda e: row(e["text"], null, "obligation", _duty(e, low), 0.75)), lambda r: r["relation"].isNotNull())
+        risks = F.flatten(F.transform(party, lambda e: F.transform(F.coalesce(_risk_phrases(e, low), F.array().cast("array<string>")), lambda p: row(
+            e["text"], null, "risk", F.concat(F.lit("Associated with "), p), 0.7))))
+        paid = F.transform(F.filter("_es", lambda e: (e["bucket"] == "money") & (F.length(e["context"]) > 0)),
+                           lambda e: row(null, e["text"], "purpose", e["context"], 0.8))
+        return F.concat(duties, paid, risks)
+    return df.select("doc_id", F.inline(bind(F.lower("_text"), made)))
 
 
 def _until_stop(s: Column, at: Column) -> Column:
@@ -241,12 +325,7 @@ def purpose_relations(entities: DataFrame) -> DataFrame:
 
 def risk_relations(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """One row per party and risk phrase within 200 characters after it."""
-    def made(m: Column, t: Column, low: Column) -> dict[str, Column]:
-        return {"phrases": bind(_after_party(m, low, 200), lambda s: F.filter(
-            F.array(*[F.lit(p) for p in fixed.RISK_PHRASES]), lambda p: s.contains(p)))}
-    rows = beside_text(_parties(entities), docs, made).withColumn("phrase", F.explode("phrases"))
-    return _relations(rows.withColumns({"party": F.col("text"), "amount": F.lit(None).cast("string"), "type": F.lit("risk"),
-                                        "relation": F.concat(F.lit("Associated with "), F.col("phrase")), "confidence": F.lit(0.7)}))
+    return _risks(beside_text(_parties(entities), docs, lambda m, t, low: {"phrases": _risk_phrases(m, low)}))
 
 
 def override_parties(parties: DataFrame, summary_lines: DataFrame) -> DataFrame:

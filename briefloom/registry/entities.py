@@ -157,22 +157,26 @@ FROM (SELECT e.doc_id, e.text, lower(t.text) AS low, instr(lower(t.text), lower(
 _duty_at = "CASE " + " ".join(f"WHEN contains(s150, {text(p)}) THEN instr(s150, {text(p)})" for p in fixed.DUTY_PHRASES) + " END"
 
 
+def relations(spark, d, kind):
+    return op.all_relations(mentions(spark, d), flat(spark, d)).where(F.col("type") == kind)
+
+
 @query("obligation_relations_e13", with_views("after_party", f"""
 SELECT doc_id, party, trim(CASE WHEN stop > 0 THEN left(rest, stop - 1) ELSE left(rest, greatest(0, 100 - (a - 1))) END) AS relation
 FROM (SELECT *, substr(s150, a) AS rest, instr(substr(s150, a), '.') AS stop FROM (SELECT doc_id, party, s150, {_duty_at} AS a FROM after_party) WHERE a > 0)"""))
 def obligation_relations(spark, d):
-    return op.obligation_relations(entities(spark, d), flat(spark, d)).select("doc_id", "party", "relation")
+    return relations(spark, d, "obligation").select("doc_id", "party", "relation")
 
 
 @query("purpose_relations_e14", with_views("entities", "SELECT doc_id, text AS amount, context AS relation FROM entities WHERE bucket = 'money' AND context <> ''"))
 def purpose_relations(spark, d):
-    return op.purpose_relations(entities(spark, d)).select("doc_id", "amount", "relation")
+    return relations(spark, d, "purpose").select("doc_id", "amount", "relation")
 
 
 @query("risk_relations_e15", with_views("after_party", " UNION ALL ".join(
     f"SELECT doc_id, party, 'Associated with {p}' AS relation FROM after_party WHERE contains(s200, {text(p)})" for p in fixed.RISK_PHRASES)))
 def risk_relations(spark, d):
-    return op.risk_relations(entities(spark, d), flat(spark, d)).select("doc_id", "party", "relation")
+    return relations(spark, d, "risk").select("doc_id", "party", "relation")
 
 
 @query("override_parties_e18", with_views("entities", """

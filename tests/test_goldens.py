@@ -313,6 +313,23 @@ def test_same_signature_counts_once_across_documents(spark):
     assert risks.risk_summary(docs, df).first().asDict() == {"total_risks": 1, "high_risk_count": 1, "medium_risk_count": 0, "low_risk_count": 0}
 
 
+def test_entities_in_one_pass_equal_the_single_steps(spark):
+    text = ("The Lessor Rajesh Kumar shall pay Rs. 500 as rent. Damages? Rajesh Kumar must indemnify First Bank for any liability! A penalty of Rs. 900; "
+            "Justice Ravi Kumar held so in Case No. 7/2024 within 30 days. First Bank is liable for breach")
+    spots = [("PERSON", "Rajesh Kumar"), ("ORG", "First Bank"), ("MONEY", "Rs. 500"), ("MONEY", "Rs. 900"), ("PERSON", "Ravi Kumar"), ("GPE", "x"), ("DATE", "30 days")]
+    rows = [(doc, label, m, text.index(m) if m in text else 0, (text.index(m) if m in text else 0) + len(m)) for doc in (1, 2) for label, m in spots]
+    rows += [(1, "ORG", "first bank", text.rindex("First"), text.rindex("First") + 10), (1, "PERSON", "Lessor Rajesh Kumar", 4, 23), (9, "PERSON", "Nobody Known", 0, 12)]
+    mentions = spark.createDataFrame(rows, "doc_id long, label string, text string, start_char long, end_char long")
+    docs = spark.createDataFrame([(1, text), (2, text + "."), (3, "Policy No. 55 of Justice Asha Rao"), (4, ""), (5, None)], "doc_id long, text string")
+    single = entities.dedup_entities(entities.model_entities(mentions, docs).unionByName(entities.pattern_entities(docs)))
+    once = entities.all_entities(mentions, docs)
+    assert once.columns == single.columns
+    key = lambda rows: sorted(str(tuple(r)) for r in rows)
+    assert key(once.collect()) == key(single.collect()) and once.count() > 12
+    by_step = entities.obligation_relations(single, docs).unionByName(entities.purpose_relations(single)).unionByName(entities.risk_relations(single, docs))
+    assert key(entities.all_relations(mentions, docs).select(*by_step.columns).collect()) == key(by_step.collect()) and by_step.count() >= 5
+
+
 # --- vectors
 def test_vector_blocks_against_every_pair(spark):
     import numpy as np
