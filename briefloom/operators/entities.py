@@ -203,8 +203,8 @@ def entities_beside_text(mentions: DataFrame, docs: DataFrame) -> DataFrame:
         return F.struct(*[made[c].alias(c) for c in ENTITY[1:]])
 
     def model(breaks: Column) -> Column:
-        return F.transform(F.coalesce("_ms", F.array()), lambda m: entity(
-            m, "model", m["_named"], **_role_near(m, t, breaks, fixed.ROLES, 80), **_money_near(m, t, 60)))
+        return F.transform(F.coalesce("_ms", F.array()), lambda m: bind(_role_near(m, t, breaks, fixed.ROLES, 80)["role"], lambda role: entity(
+            m, "model", m["_named"], role=role, **_money_near(m, t, 60))))
 
     pattern = F.transform(_pattern_spans(t, fixed.ENTITY_PATTERNS), lambda e: entity(
         e, "pattern", (F.length(e["text"]) > 5) & ~e["text"].rlike(r"(?U)\d")))
