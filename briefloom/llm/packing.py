@@ -13,6 +13,7 @@ later steps move keys and lengths, and each document's tokens once, to its place
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +39,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE vocabulary. The end-of-text mark in a text is its special token."""
+    """Ids of texts by a byte-level BPE vocabulary. The end-of-text mark in a text is its special token.
+
+    The rank file is much the faster reader, but its pattern cannot step back over a very long run of blanks at the end of a
+    text. Such texts are encoded by the ``.json`` file of the same vocabulary beside it, which gives the same ids.
+    """
 
     def __init__(self, path: str, end_of_text: str = "<|endoftext|>"):
         import public_tokenizers
@@ -47,10 +52,17 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.size = len(ranks) + 1
         self.type = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.plain, self.plain_path = None, os.path.splitext(path)[0] + ".json"
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={end_of_text: len(ranks)})
 
     def encode(self, text: str) -> np.ndarray:
-        return self.bpe.encode_to_numpy(text, allowed_special="all").astype(self.type)
+        try:
+            return self.bpe.encode_to_numpy(text, allowed_special="all").astype(self.type)
+        except ValueError:
+            if self.plain is None:
+                from tokenizers import Tokenizer
+                self.plain = Tokenizer.from_file(self.plain_path)
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype=self.type)
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:

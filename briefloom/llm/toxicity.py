@@ -168,7 +168,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_per_
     rank = F.xxhash64("doc_id", F.lit("toxicity"))
     picks = [hashed_sample(known.where(F.col("toxic") == y), rank, max_per_class, sizes.get(y, 0)) for y in (0, 1)]
     picked = picks[0].union(picks[1]).select(F.col("doc_id").alias("pick"), "toxic")
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("pick")).select(
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("pick")).select(
         F.pmod(F.xxhash64(F.left(text_of("text"), F.lit(200))), F.lit(2)).cast("int").alias("fold"),
         F.pmod(F.xxhash64(F.lit("part"), "pick"), F.lit(4)).cast("int").alias("part"), "toxic",
         F.when(F.col("toxic") == 1, max(1.0, sizes.get(1, 0) / max_per_class)).otherwise(max(1.0, sizes.get(0, 0) / max_per_class)).alias("weight"), text_of("text").alias("text"))
