@@ -54,11 +54,14 @@ def subtype(spark, d):
     return op.subtype(docs, "document_type", "name").select("doc_id", "subtype", "is_loan")
 
 
-@query("question_intent_d13", with_views("questions", f"""
-SELECT intent, count(*) AS n, CAST(sum(query_id % 1000) AS BIGINT) AS id_sum FROM (SELECT query_id, CASE WHEN regexp_matches(q, {text(fixed.GREETING)}, 'i') THEN 'greeting'
+INTENT = f"""CASE WHEN regexp_matches(q, {text(fixed.GREETING)}, 'i') THEN 'greeting'
  WHEN regexp_matches(q, {text(fixed.HELP)}, 'i') THEN 'help' WHEN regexp_matches(q, {text(fixed.OFF_TOPIC)}, 'i') THEN 'off_topic'
  WHEN regexp_matches(q, {text(fixed.LOOKUP)}, 'i') THEN 'entity_lookup' WHEN regexp_matches(q, {text(fixed.ENTITY_LIST)}, 'i') THEN 'entity_query'
- WHEN {any_of('lower(q)', fixed.ANALYSIS_WORDS)} THEN 'legal_analysis' ELSE 'document_qa' END AS intent
+ WHEN {any_of('lower(q)', fixed.ANALYSIS_WORDS)} THEN 'legal_analysis' ELSE 'document_qa' END"""
+
+
+@query("question_intent_d13", with_views("questions", f"""
+SELECT intent, count(*) AS n, CAST(sum(query_id % 1000) AS BIGINT) AS id_sum FROM (SELECT query_id, {INTENT} AS intent
  FROM (SELECT query_id, trim(question) AS q FROM questions)) GROUP BY intent"""))
 def question_intent(spark, d):
     rows = op.question_intent(samples.spread(samples.questions(spark, d)), "question")

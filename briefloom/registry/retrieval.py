@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, segmenting
+from ..operators import clauses as clause_op
 from ..operators import entities as ent
 from ..operators import labels as label_op
 from ..operators import retrieval as op
+from ..operators import segments as segment_op
 from ..operators import summaries as sm
+from ..plans import answers as answer_plan
 from ..plans.placement import written
 from ..sources import samples
 from . import query
 from .clauses import ranked
-from .entities import entities
+from .entities import entities, flat, mentions
+from .labels import INTENT
 from .risks import norm_risks
 from .segments import d_grouped, d_sentences, d_sentences_raw, d_words, longs
 from .sql import ieee_round, text, view, with_views
@@ -154,6 +158,45 @@ def resolve_entity(spark, d):
     return _resolved(spark, d)
 
 
+# --- all questions in one plan
+view("told", f"SELECT query_id, doc_id, term, {INTENT} AS intent FROM (SELECT q.query_id, q.doc_id, trim(q.question) AS q, t.term FROM questions q JOIN terms t ON t.query_id = q.query_id)",
+     ["questions", "terms"])
+_alias_of = "CASE t " + " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in fixed.ORG_ALIASES.items()) + " END"
+_near_term = lambda c: f"(contains(lower({c}), t) OR contains(t, lower({c})))"
+view("resolved", f"""
+WITH l AS (SELECT *, {_role_of} AS r, {_alias_of} AS alias FROM (SELECT query_id, doc_id, lower(trim(term)) AS t FROM told WHERE intent = 'entity_lookup' AND term IS NOT NULL)),
+e AS (SELECT * FROM (SELECT *, {_order} AS o FROM entities) WHERE o IS NOT NULL)
+SELECT query_id, text, match_type FROM (
+ SELECT query_id, 0 AS p, 0 AS o, '' AS s, 0 AS place, role AS k, name AS text, 'role' AS match_type FROM l JOIN party_names n ON n.doc_id = l.doc_id AND n.role IN (r, t)
+ UNION ALL SELECT query_id, 1, o, source, start_char, text, text, CASE WHEN lower(text) = t THEN 'exact' ELSE 'partial' END FROM l JOIN e ON e.doc_id = l.doc_id WHERE {_near_term('text')}
+ UNION ALL SELECT query_id, 2, o, source, start_char, text, text, 'alias' FROM l JOIN e ON e.doc_id = l.doc_id WHERE bucket = 'parties' AND contains(lower(text), alias)
+ UNION ALL SELECT query_id, 3, o, source, start_char, text, display, 'simple' FROM l JOIN e ON e.doc_id = l.doc_id WHERE {_near_term('display')})
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p, o, s, place, k) = 1""", ["told", "entities", "party_names"])
+_sure = ieee_round("least(CAST(0.98 AS DOUBLE), greatest(CAST(0.1 AS DOUBLE), a + least(CAST(0.15 AS DOUBLE), n * CAST(0.04 AS DOUBLE)) + CASE WHEN crit THEN CAST(0.05 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END))")
+
+
+@query("answer_questions_f7_f13", with_views("told resolved entities kw_sources norm_risks", f"""
+SELECT t.query_id, t.doc_id, t.intent, CASE WHEN t.intent IN ('greeting', 'help', 'off_topic') THEN 'canned' WHEN t.intent = 'entity_query' THEN 'entities' WHEN r.text IS NOT NULL THEN 'lookup' ELSE 'retrieval' END AS route,
+  CASE WHEN t.intent = 'entity_query' THEN coalesce(listed, '') ELSE r.text END AS answer, r.match_type,
+  CASE WHEN is_open THEN body || coalesce(known, '') END AS context, CASE WHEN is_open THEN coalesce(sure, CAST(0 AS DOUBLE)) END AS confidence, CASE WHEN is_open THEN coalesce(n, 0) END AS n_sources
+FROM (SELECT told.*, intent IN ('legal_analysis', 'document_qa') OR intent = 'entity_lookup' AND query_id NOT IN (SELECT query_id FROM resolved) AS is_open FROM told) t
+LEFT JOIN resolved r USING (query_id)
+LEFT JOIN (SELECT doc_id, string_agg(display, '; ' ORDER BY bucket, display) AS listed FROM entities GROUP BY doc_id) e ON e.doc_id = t.doc_id
+LEFT JOIN (SELECT query_id, string_agg('[' || upper(clause_type) || '] (Importance: ' || importance_label || ') ' || text, chr(10) || chr(10) ORDER BY rank) AS body, n, {_sure} AS sure
+  FROM (SELECT *, avg(score) OVER w AS a, count(*) OVER w AS n, bool_or(importance_label = 'Critical') OVER w AS crit FROM kw_sources WINDOW w AS (PARTITION BY query_id)) GROUP BY query_id, a, n, crit) b ON b.query_id = t.query_id
+LEFT JOIN (SELECT query_id, chr(10) || chr(10) || 'KNOWN RISKS IN THIS CONTEXT:' || chr(10) || string_agg('- ' || upper(risk_type) || ' RISK (' || severity || '): ' || explanation || chr(10), '' ORDER BY seq) AS known FROM (
+  SELECT DISTINCT s.query_id, r.seq, r.risk_type, r.severity, r.explanation FROM kw_sources s JOIN norm_risks r ON r.doc_id = s.doc_id
+  WHERE r.severity IN ('high', 'medium') AND length(s.text) > 10 AND (contains(s.text, r.clause_text) OR contains(r.clause_text, s.text))) GROUP BY query_id) k ON k.query_id = t.query_id"""))
+def answer_questions(spark, d):
+    def clauses_of(ids):
+        paras = segment_op.paragraphs(samples.contract_text(spark, d).join(ids, "doc_id", "left_semi"))
+        found = clause_op.describe_clauses(paras.select("doc_id", "para_no", F.lit(0).alias("pos"), F.col("paragraph").alias("clause"), F.col("paragraph").alias("full_text")))
+        return clause_op.rank_clauses(clause_op.dedup_clauses(found)).select(
+            "doc_id", "rank", F.col("full_text").alias("text"), "clause_type", F.col("responsible_party").alias("party"), "importance_label")
+    r = norm_risks(spark, d).select("doc_id", "seq", "clause_text", "severity", "risk_type", "explanation")
+    return answer_plan.answer_questions(asked(spark, d), flat(spark, d), mentions(spark, d), r, clauses_of)
+
+
 # --- summaries
 _score = (" + ".join(f"CASE WHEN contains(lower(sentence), '{w}') THEN 3 ELSE 0 END" for w in fixed.SCORE_WORDS)
           + r" + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 2 ELSE 0 END"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from briefloom.functions import cleaning, columns, fixed, headings, segmenting
 from briefloom.operators import clauses, entities, graph_rank, jobs, labels, mention_review, retrieval, risks, segments, summaries
-from briefloom.plans import briefing, placement
+from briefloom.plans import answers, briefing, placement
 from briefloom.sources import tables
 from briefloom.streaming import live
 
@@ -330,6 +330,34 @@ def test_entities_in_one_pass_equal_the_single_steps(spark):
     assert key(entities.all_relations(mentions, docs).select(*by_step.columns).collect()) == key(by_step.collect()) and by_step.count() >= 5
 
 
+def test_questions_of_every_kind_in_one_plan(spark):
+    text = "The Lessee Asha Rao pays on time. " + "Nothing else is said. " * 5 + "Reserve Bank of India in Pune."
+    docs = spark.createDataFrame([(d, text) for d in range(1, 9)], "doc_id long, text string")
+    spots = [("PERSON", "Asha Rao"), ("ORG", "Reserve Bank of India"), ("GPE", "Pune")]
+    mentions = spark.createDataFrame([(d, label, m, text.index(m), text.index(m) + len(m)) for d in range(1, 9) for label, m in spots],
+                                     "doc_id long, label string, text string, start_char long, end_char long")
+    asks = [(1, 1, "hello"), (2, 2, "What can you do?"), (3, 3, "List all parties"), (4, 4, "Who is the tenant?"), (5, 5, "what is Pune"), (6, 5, "Who is Asha?"), (7, 5, "what is RBI"),
+            (8, 5, "who is rao (lessee"), (9, 6, "what is BDA"), (10, 7, "When is the deposit refunded?"), (11, 7, "zzzz?"), (12, 99, "When is the deposit due?")]
+    questions = spark.createDataFrame(asks, "query_id long, doc_id long, question string")
+    stored = spark.createDataFrame([(d, 1, "The deposit is refunded in time", "deposit", "Lessor", "Critical") for d in range(1, 9)],
+                                   "doc_id long, rank int, text string, clause_type string, party string, importance_label string")
+    risks_ = spark.createDataFrame([(7, 0, "The deposit is refunded in time", "high", "money", "Late."), (1, 0, "", "high", "x", "y")],
+                                   "doc_id long, seq int, clause_text string, severity string, risk_type string, explanation string")
+    wanted = []
+
+    def clauses_of(ids):
+        wanted.extend(r["doc_id"] for r in ids.collect())
+        return stored.join(ids, "doc_id", "left_semi")
+    rows = {r["query_id"]: r for r in answers.answer_questions(questions, docs, mentions, risks_, clauses_of).collect()}
+    assert sorted(rows) == list(range(1, 13)) and sorted(wanted) == [6, 7, 99]
+    assert {q: (r["route"], r["answer"], r["match_type"]) for q, r in rows.items() if r["route"] in ("lookup", "canned")} == {
+        1: ("canned", None, None), 2: ("canned", None, None), 4: ("lookup", "Asha Rao", "role"), 5: ("lookup", "Pune", "exact"), 6: ("lookup", "Asha Rao", "partial"),
+        7: ("lookup", "Reserve Bank of India", "alias"), 8: ("lookup", "Asha Rao (Lessee)", "simple")}
+    assert rows[3]["route"] == "entities" and "Asha Rao (Lessee)" in rows[3]["answer"] and "Pune" in rows[3]["answer"]
+    assert rows[10]["context"].endswith("KNOWN RISKS IN THIS CONTEXT:\n- MONEY RISK (high): Late.\n") and rows[10]["confidence"] == 0.24 and rows[10]["n_sources"] == 1
+    assert all((rows[q]["route"], rows[q]["context"], rows[q]["confidence"], rows[q]["n_sources"]) == ("retrieval", None, 0.0, 0) for q in (9, 11, 12))
+
+
 # --- vectors
 def test_vector_blocks_against_every_pair(spark):
     import numpy as np
