@@ -274,7 +274,14 @@ def exclude_reviewed(spark, d):
     return rev.exclude_contained(reviewed(spark, d).filter("label IN ('PERSON', 'ORG')"), others).select("doc_id", "text")
 
 
-@query("merge_places_e22")
+@query("merge_places_e22", with_views("mentions flat_text", r"""SELECT doc_id, unnest(out) AS place FROM (
+ WITH RECURSIVE places AS (SELECT m.doc_id, t.text, list(m.text ORDER BY m.start_char, m.text) AS p FROM mentions m JOIN flat_text t ON t.doc_id = m.doc_id WHERE label IN ('GPE', 'PERSON') GROUP BY m.doc_id, t.text),
+ step(doc_id, i, used, out) AS (SELECT doc_id, CAST(1 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]) FROM places UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN list_contains(used, i) OR j IS NULL THEN used ELSE used || [i, j] END,
+   CASE WHEN list_contains(used, i) THEN out WHEN j IS NULL THEN out || [p[i]] ELSE out || [p[i] || ', ' || p[j]] END
+  FROM (SELECT s.*, p.p, list_filter(range(1, len(p.p) + 1), lambda k: k <> s.i AND NOT list_contains(s.used, k)
+    AND regexp_matches(p.text, regexp_escape(p.p[s.i]) || '[\s,]+' || regexp_escape(p.p[k]), 'i'))[1] AS j FROM step s JOIN places p ON p.doc_id = s.doc_id WHERE s.i <= len(p.p)))
+ SELECT s.doc_id, s.out FROM step s JOIN places p ON p.doc_id = s.doc_id WHERE s.i = len(p.p) + 1)"""))
 def merge_places(spark, d):
     places = mentions(spark, d).withColumn("label", F.when(F.col("label").isin("GPE", "PERSON"), "GPE").otherwise(F.col("label")))
     return rev.merge_places(places, flat(spark, d))
