@@ -104,16 +104,50 @@ def word_windows(spark, d):
     return longs(op.word_windows(samples.documents(spark, d), 50), "pos")
 
 
-@query("pack_chunks_c8")
+# --- packing, paragraph by paragraph: the open run starts at a and holds n words; runs are pairs of paragraph numbers
+def d_tokens(x: str) -> str:
+    return rf"len(regexp_extract_all({x}, '\S+'))"
+
+
+def d_packed(source: str, min_words: int, max_words: int) -> str:
+    """``doc_id, c`` of ``source(doc_id, text)``: the packed chunks as a list."""
+    whole = "list_transform(range(r[1] + 1, r[2] + 1), lambda k: ps[k])"
+    return rf"""SELECT doc_id, flatten(list_transform(runs, lambda r: CASE WHEN r[2] = r[1] + 1 AND {d_tokens('ps[r[1] + 1]')} > {max_words}
+   THEN {d_grouped(d_words('ps[r[1] + 1]'), max_words)} ELSE [array_to_string({whole}, chr(10) || chr(10))] END)) AS c FROM (
+ WITH RECURSIVE texts AS (SELECT doc_id, {d_pieces("string_split(text, chr(10) || chr(10))")} AS ps FROM {source}),
+ step(doc_id, k, a, n, runs) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[][]) FROM texts UNION ALL
+  SELECT doc_id, k + 1, CASE WHEN seals THEN k + 1 ELSE a END, CASE WHEN seals THEN 0 ELSE n + m END, CASE WHEN seals THEN runs || [[a, k + 1]] ELSE runs END
+  FROM (SELECT *, big OR n + m BETWEEN {min_words} AND {max_words} AS seals
+   FROM (SELECT doc_id, k, m, big, CASE WHEN closes THEN k ELSE a END AS a, CASE WHEN closes THEN 0 ELSE n END AS n, CASE WHEN closes AND k > a THEN runs || [[a, k]] ELSE runs END AS runs
+    FROM (SELECT *, m > {max_words} AS big, m > {max_words} OR (k > a AND n + m > {max_words}) AS closes
+     FROM (SELECT s.*, {d_tokens('t.ps[s.k + 1]')} AS m FROM step s JOIN texts t ON t.doc_id = s.doc_id WHERE s.k < len(t.ps))))))
+ SELECT t.doc_id, t.ps, CASE WHEN s.k > s.a THEN runs || [[s.a, s.k]] ELSE runs END AS runs FROM step s JOIN texts t ON t.doc_id = s.doc_id WHERE s.k = len(t.ps))"""
+
+
+def d_tail(source: str, min_words: int, max_words: int) -> str:
+    return f"""SELECT doc_id, CASE WHEN len(c) >= 2 AND {d_tokens('c[len(c)]')} < {min_words} AND {d_tokens('c[len(c) - 1]')} + {d_tokens('c[len(c)]')} <= {2 * max_words}
+  THEN c[1:len(c) - 2] || [c[len(c) - 1] || chr(10) || chr(10) || c[len(c)]] ELSE c END AS c FROM ({source})"""
+
+
+def d_overlapped(source: str, overlap: int) -> str:
+    last = f"CASE WHEN len({d_words('c[i - 1]')}) > {overlap} THEN array_to_string(({d_words('c[i - 1]')})[-{overlap}:], ' ') ELSE c[i - 1] END"
+    return f"SELECT doc_id, list_transform(c, lambda x, i: CASE WHEN i = 1 THEN x ELSE {last} || chr(10) || chr(10) || x END) AS c FROM ({source})"
+
+
+def d_chunk_rows(source: str) -> str:
+    return f"SELECT doc_id, CAST(unnest(range(len(c))) AS BIGINT) AS chunk_index, unnest(c) AS chunk_text FROM ({source})"
+
+
+@query("pack_chunks_c8", with_views("contract_text", d_chunk_rows(d_packed("contract_text", 30, 60))))
 def pack_chunks(spark, d):
     rows = op.pack_chunks(samples.contract_text(spark, d), 30, 60)
-    return rows.select("doc_id", F.posexplode("chunks").alias("chunk_index", "chunk_text"))
+    return longs(rows.select("doc_id", F.posexplode("chunks").alias("chunk_index", "chunk_text")), "chunk_index")
 
 
-@query("merge_tail_c9")
+@query("merge_tail_c9", with_views("contract_text", d_chunk_rows(d_tail(d_packed("contract_text", 30, 60), 30, 60))))
 def merge_tail(spark, d):
     rows = op.merge_tail(op.pack_chunks(samples.contract_text(spark, d), 30, 60), 30, 60)
-    return rows.select("doc_id", F.posexplode("chunks").alias("chunk_index", "chunk_text"))
+    return longs(rows.select("doc_id", F.posexplode("chunks").alias("chunk_index", "chunk_text")), "chunk_index")
 
 
 @query("add_overlap_c10", f"""
@@ -186,9 +220,9 @@ def noise_headings(spark, d):
     return op.is_noise_heading(rows, "line").groupBy("line", "is_noise_heading").agg(F.count("*").alias("n"))
 
 
-@query("chunk_sequential_c14")
+@query("chunk_sequential_c14", with_views("contract_text", d_chunk_rows(d_overlapped(d_tail(d_packed("contract_text", 48, 60), 48, 60), 200))))
 def chunk_sequential(spark, d):
-    return op.chunk_sequential(samples.contract_text(spark, d), 60)
+    return longs(op.chunk_sequential(samples.contract_text(spark, d), 60).select("doc_id", "chunk_index", "chunk_text"), "chunk_index")
 
 
 @query("chunk_by_sections_c15")
