@@ -225,9 +225,31 @@ def chunk_sequential(spark, d):
     return longs(op.chunk_sequential(samples.contract_text(spark, d), 60).select("doc_id", "chunk_index", "chunk_text"), "chunk_index")
 
 
-@query("chunk_by_sections_c15")
+def d_sequential(source: str, max_words: int) -> str:
+    return d_overlapped(d_tail(d_packed(source, int(max_words * 0.8), max_words), int(max_words * 0.8), max_words), 200)
+
+
+def d_by_sections(max_words: int) -> str:
+    """``doc_id, c``: whole sections packed greedily, a longer one chunked by itself; under three sections the text by paragraphs."""
+    return rf"""SELECT d.doc_id, CASE WHEN coalesce(len(ts), 0) < 3 THEN q.c ELSE flatten(list_transform(runs, lambda r: CASE WHEN r[2] = r[1] + 1 AND ns[r[1] + 1] > {max_words} THEN cs[r[1] + 1]
+   ELSE [array_to_string(list_transform(range(r[1] + 1, r[2] + 1), lambda k: ts[k]), chr(10) || chr(10))] END)) END AS c
+FROM contract_text d JOIN ({d_sequential('contract_text', max_words)}) q ON q.doc_id = d.doc_id LEFT JOIN (
+ WITH RECURSIVE parts AS (SELECT s.doc_id, list(s.text ORDER BY section_no) AS ts, list(len(regexp_extract_all(s.text, '\w\S*')) ORDER BY section_no) AS ns, list(p.c ORDER BY section_no) AS cs
+  FROM section_texts s JOIN ({d_sequential('(SELECT doc_id * 1000 + section_no AS doc_id, text FROM section_texts)', max_words)}) p ON p.doc_id = s.doc_id * 1000 + s.section_no GROUP BY s.doc_id),
+ step(doc_id, k, a, n, runs) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[][]) FROM parts UNION ALL
+  SELECT doc_id, k + 1, CASE WHEN big THEN k + 1 WHEN closes THEN k ELSE a END, CASE WHEN big THEN 0 WHEN closes THEN m ELSE n + m END,
+   CASE WHEN closes AND k > a THEN runs || [[a, k]] ELSE runs END || CASE WHEN big THEN [[k, k + 1]] ELSE CAST([] AS BIGINT[][]) END
+  FROM (SELECT *, m > {max_words} AS big, m > {max_words} OR n + m > {max_words} AS closes FROM (
+   SELECT s.*, t.ns[s.k + 1] AS m FROM step s JOIN parts t ON t.doc_id = s.doc_id WHERE s.k < len(t.ts))))
+ SELECT t.*, CASE WHEN s.k > s.a THEN s.runs || [[s.a, s.k]] ELSE s.runs END AS runs FROM step s JOIN parts t ON t.doc_id = s.doc_id WHERE s.k = len(t.ts)) r ON r.doc_id = d.doc_id"""
+
+
+view("section_texts", "SELECT doc_id, section_no, title || chr(10) || content AS text FROM sections", ["sections"])
+
+
+@query("chunk_by_sections_c15", with_views("contract_text section_texts", d_chunk_rows(d_by_sections(60))))
 def chunk_by_sections(spark, d):
-    return op.chunk_by_sections(samples.contract_text(spark, d), 60)
+    return longs(op.chunk_by_sections(samples.contract_text(spark, d), 60).select("doc_id", "chunk_index", "chunk_text"), "chunk_index")
 
 
 WANTED = ["Security Deposit", "3. Indemnity"]
@@ -300,9 +322,11 @@ def summary_route(spark, d):
     return op.summary_route(docs, 800, "doc_type").select("doc_id", "route", "chunker")
 
 
-@query("route_chunks_c18")
+@query("route_chunks_c18", with_views("contract_text section_texts", d_chunk_rows(rf"""
+SELECT t.doc_id, CASE WHEN len(regexp_extract_all(t.text, '\w\S*')) <= 110 THEN [t.text] WHEN t.document_type = 'court_judgment' THEN q.c ELSE s.c END AS c
+FROM contract_text t JOIN ({d_sequential('contract_text', 60)}) q ON q.doc_id = t.doc_id JOIN ({d_by_sections(60)}) s ON s.doc_id = t.doc_id""")))
 def route_chunks(spark, d):
-    return op.route_chunks(samples.contract_text(spark, d), 110, 60, "document_type")
+    return longs(op.route_chunks(samples.contract_text(spark, d), 110, 60, "document_type").select("doc_id", "chunk_index", "chunk_text"), "chunk_index")
 
 
 @query("bullets_c19", f"""
