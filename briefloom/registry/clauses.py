@@ -49,10 +49,10 @@ view("typed", f"""SELECT doc_id, para_no, paragraph, low, clause_type, {ieee_rou
 FROM (SELECT *, CASE WHEN best = 0 THEN 'obligation' {' '.join(f"WHEN s{i} = best THEN '{n}'" for i, (n, _, _, _) in enumerate(RULES))} END AS clause_type
 FROM (SELECT *, greatest({_all}) AS best FROM scored))""", ["scored"])
 _weight = f"CAST({_case('clause_type', {n: str(w) for n, w, _, _ in RULES}, text('0.5'))} AS DOUBLE)"
-_duties = ", ".join(rf"CASE WHEN regexp_matches(low, {text(chr(92) + 'b(' + s + ')' + chr(92) + 'b[^' + chr(92) + 'n]*' + chr(92) + 'b(' + v + ')' + chr(92) + 'b')}) THEN '{r}' END"
+DUTIES = ", ".join(rf"CASE WHEN regexp_matches(low, {text(chr(92) + 'b(' + s + ')' + chr(92) + 'b[^' + chr(92) + 'n]*' + chr(92) + 'b(' + v + ')' + chr(92) + 'b')}) THEN '{r}' END"
                     for r, s, v in fixed.ROLE_DUTIES)
 _inst = any_of("low", fixed.INSTITUTION_TERMS)
-_words = ", ".join(f"CASE WHEN contains(low, '{r}')" + ("" if r in fixed.INSTITUTION_EXEMPT_ROLES else f" AND NOT {_inst}")
+ROLE_WORDS = ", ".join(f"CASE WHEN contains(low, '{r}')" + ("" if r in fixed.INSTITUTION_EXEMPT_ROLES else f" AND NOT {_inst}")
                    + f" THEN '{r.title()}' END" for r in fixed.LEGAL_ROLES)
 
 
@@ -64,7 +64,7 @@ def _found(patterns, n, min_chars):
 
 view("parties_found", f"""SELECT *, CASE WHEN len(roles) > 1 THEN 'Both' WHEN len(roles) = 1 THEN roles[1] ELSE 'Unknown' END AS responsible_party
 FROM (SELECT *, list_distinct(CASE WHEN len(duty) > 0 THEN duty ELSE word END) AS roles FROM (
- SELECT *, list_filter([{_duties}], lambda x: x IS NOT NULL) AS duty, list_filter([{_words}], lambda x: x IS NOT NULL) AS word FROM typed))""",
+ SELECT *, list_filter([{DUTIES}], lambda x: x IS NOT NULL) AS duty, list_filter([{ROLE_WORDS}], lambda x: x IS NOT NULL) AS word FROM typed))""",
      ["typed"])
 _titles = " ".join(f"WHEN clause_type = '{t}' AND contains(low, '{w}') THEN {text(x)}" for t, w, x in fixed.TITLE_RULES)
 view("clauses", f"""SELECT *, replace(replace(replace({_case('clause_type', fixed.PLAIN_SUMMARIES, text('?'))}, '{{p}}', responsible_party),

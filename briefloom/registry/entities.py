@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.cleaning import clean_text
+from ..operators import clauses as clause_op
 from ..operators import entities as op
 from ..operators import labels as label_op
 from ..operators import mention_review as rev
 from ..sources import samples
 from . import query
+from .clauses import DUTIES, ROLE_WORDS, units
 from .cleaning import SUMMARY_STEPS, chain
 from .sql import any_of, text, view, with_views
 
@@ -145,12 +147,29 @@ def entity_groups(spark, d):
     return rows.select("doc_id", *[F.array_join(F.array_sort(b), "|").alias(b) for b in fixed.BUCKETS])
 
 
+view("party_names", """SELECT doc_id, lower(role) AS role, max_by(text, start_char) AS name FROM entities WHERE bucket = 'parties' AND role IS NOT NULL GROUP BY ALL""", ["entities"])
+
+
 @query("parties_map_e12", with_views("entities", """SELECT doc_id, lower(role) AS role, max_by(text, start_char) AS name FROM entities
 WHERE bucket = 'parties' AND role IS NOT NULL GROUP BY ALL"""))
 def parties_map(spark, d):
     return op.parties_map(entities(spark, d))
 
 
+view("known_parties", f"""SELECT doc_id, para_no, CASE WHEN len(roles) > 1 THEN 'Both' WHEN len(roles) = 1 THEN roles[1] ELSE 'Unknown' END AS responsible_party
+FROM (SELECT *, list_distinct(CASE WHEN len(duty) > 0 THEN duty WHEN len(named) > 0 THEN named ELSE word END) AS roles FROM (
+ SELECT t.*, list_filter([{DUTIES}], lambda x: x IS NOT NULL) AS duty, list_filter([{ROLE_WORDS}], lambda x: x IS NOT NULL) AS word,
+  coalesce(list_transform(list_filter(k.ps, lambda p: contains(t.low, lower(p.name)) OR contains(t.low, p.role)), lambda p: upper(p.role[1]) || p.role[2:]), CAST([] AS VARCHAR[])) AS named
+ FROM typed t LEFT JOIN (SELECT doc_id, list({{'role': role, 'name': name}} ORDER BY role) AS ps FROM party_names GROUP BY doc_id) k ON k.doc_id = t.doc_id WHERE confidence >= 0.55))""",
+     ["typed", "party_names"])
+
+
+@query("known_parties_d9_e12", with_views("known_parties", "SELECT * FROM known_parties"))
+def known_parties(spark, d):
+    parties = op.parties_column(op.parties_map(entities(spark, d)))
+    return clause_op.describe_clauses(units(spark, d), parties).select("doc_id", "para_no", "responsible_party")
+
+
 view("after_party", """SELECT e.doc_id, e.text AS party, CASE WHEN p > 0 THEN substr(low, p, 150) END AS s150, CASE WHEN p > 0 THEN substr(low, p, 200) END AS s200
 FROM (SELECT e.doc_id, e.text, lower(t.text) AS low, instr(lower(t.text), lower(e.text)) AS p FROM entities e JOIN flat_text t ON t.doc_id = e.doc_id WHERE bucket = 'parties') e""",
      ["entities", "flat_text"])

@@ -137,7 +137,6 @@ def search_term(spark, d):
 
 _order = "CASE bucket " + " ".join(f"WHEN '{b}' THEN {i}" for i, (b, _) in enumerate(fixed.LOOKUP_BUCKETS)) + " END"
 _role_of = "coalesce(CASE t " + " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in fixed.ROLE_ALIASES.items()) + " END, t)"
-view("party_names", """SELECT doc_id, lower(role) AS role, max_by(text, start_char) AS name FROM entities WHERE bucket = 'parties' AND role IS NOT NULL GROUP BY ALL""", ["entities"])
 
 
 @query("resolve_role_f7", with_views("terms party_names entities", f"""

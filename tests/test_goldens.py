@@ -358,6 +358,15 @@ def test_questions_of_every_kind_in_one_plan(spark):
     assert all((rows[q]["route"], rows[q]["context"], rows[q]["confidence"], rows[q]["n_sources"]) == ("retrieval", None, 0.0, 0) for q in (9, 11, 12))
 
 
+def test_party_known_only_by_name(spark):
+    rows = [(1, 0, "Rajesh Kumar keeps the roof dry."), (1, 1, "The roof is kept dry."), (2, 0, "Rajesh Kumar keeps the roof dry."), (1, 2, "Rajesh Kumar and Asha Rao keep the roof dry."),
+            (1, 3, "The Lessee shall pay Rajesh Kumar.")]
+    parties = entities.parties_column(spark.createDataFrame([(1, "lessor", "Rajesh Kumar"), (1, "lessee", "Asha Rao")], "doc_id long, role string, name string"))
+    got = clauses.responsible_party(spark.createDataFrame(rows, "doc_id long, pos int, clause string"), parties)
+    assert {(r["doc_id"], r["pos"]): r["responsible_party"] for r in got.collect()} == {
+        (1, 0): "Lessor", (1, 1): "Unknown", (2, 0): "Unknown", (1, 2): "Both", (1, 3): "Lessee"}
+
+
 # --- vectors
 def test_vector_blocks_against_every_pair(spark):
     import numpy as np
