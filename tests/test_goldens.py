@@ -6,6 +6,7 @@ import random
 import re
 import shutil
 
+import duckdb
 import models
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from briefloom.functions import cleaning, columns, fixed, headings, segmenting
 from briefloom.operators import clauses, entities, graph_rank, jobs, labels, mention_review, retrieval, risks, segments, summaries
 from briefloom.plans import answers, briefing, placement
+from briefloom.registry import segments as registry_segments
 from briefloom.sources import tables
 from briefloom.streaming import live
 
@@ -84,21 +86,31 @@ def test_atomic_clauses_equal_the_model(spark):
     assert mapped(spark, segmenting.atomic_clauses, paras) == [models.clauses(p) for p in paras]
 
 
-def test_chunks_equal_the_model(spark):
+def chunks_by_sql(texts, lo, hi, overlap):
+    """The registered SQL of the packing rules, run over ``texts``."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    packed = registry_segments.d_tail(registry_segments.d_packed("t", lo, hi), lo, hi)
+    rows = dict(con.execute(registry_segments.d_overlapped(packed, overlap) if overlap else packed).fetchall())
+    return [rows[i] for i in range(len(texts))]
+
+
+def test_chunks_equal_the_sql(spark):
     rnd = random.Random(3)
     texts = ["\n\n".join(" ".join(f"w{rnd.randint(0, 99)}" for _ in range(rnd.randint(0, 45))) for _ in range(rnd.randint(1, 12)))
              for _ in range(300)]
     got = mapped(spark, lambda c: segmenting.chunk_text(c, 24, 30, 5), texts)
-    assert got == [models.chunks(t, 24, 30, 5) for t in texts]
+    assert got == chunks_by_sql(texts, 24, 30, 5)
 
 
 @pytest.mark.parametrize("sizes", [[1200], [1500], [1501], [1500, 1500, 1199], [3000, 20], [1400, 1199, 3], [700, 600, 300]])
 def test_chunk_limits(spark, sizes):
     text = "\n\n".join(" ".join(["w"] * n) for n in sizes)
-    assert one(spark, lambda c: segmenting.chunk_text(c, overlap=0), text) == models.chunks(text, 1200, 1500)
+    assert one(spark, lambda c: segmenting.chunk_text(c, overlap=0), text) == chunks_by_sql([text], 1200, 1500, 0)[0]
 
 
-def test_section_chunks_equal_the_model(spark):
+def test_section_chunks_equal_the_sql(spark):
     rnd = random.Random(5)
     texts = []
     for _ in range(120):
@@ -107,8 +119,12 @@ def test_section_chunks_equal_the_model(spark):
             parts.append(f"Section {i + 1} Terms of part {i}\n" + " ".join(f"word{rnd.randint(0, 9)}" for _ in range(rnd.randint(12, 70))))
         texts.append("Opening line here\n" + "\n".join(parts))
     found = mapped(spark, headings.section_array, texts)
-    want = [models.section_chunks([f"{s['title']}\n{s['content']}" for s in ss], 50, t) for ss, t in zip(found, texts)]
-    assert mapped(spark, lambda c: headings.section_chunks(c, 50), texts) == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE contract_text (doc_id BIGINT, text VARCHAR); CREATE TABLE section_texts (doc_id BIGINT, section_no BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO contract_text VALUES (?, ?)", list(enumerate(texts)))
+    con.executemany("INSERT INTO section_texts VALUES (?, ?, ?)", [(d, n, f"{x['title']}\n{x['content']}") for d, ss in enumerate(found) for n, x in enumerate(ss)])
+    want = dict(con.execute(registry_segments.d_by_sections(50)).fetchall())
+    assert mapped(spark, lambda c: headings.section_chunks(c, 50), texts) == [want[i] for i in range(len(texts))]
 
 
 def test_sections(spark):
