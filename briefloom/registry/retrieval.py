@@ -152,25 +152,36 @@ def _resolved(spark, d):
     return op.resolve_entity(terms.select("query_id", "doc_id", "term"), es, ent.parties_map(es))
 
 
-@query("resolve_entity_f7")
-def resolve_entity(spark, d):
-    return _resolved(spark, d)
-
-
 # --- all questions in one plan
 view("told", f"SELECT query_id, doc_id, term, {INTENT} AS intent FROM (SELECT q.query_id, q.doc_id, trim(q.question) AS q, t.term FROM questions q JOIN terms t ON t.query_id = q.query_id)",
      ["questions", "terms"])
 _alias_of = "CASE t " + " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in fixed.ORG_ALIASES.items()) + " END"
 _near_term = lambda c: f"(contains(lower({c}), t) OR contains(t, lower({c})))"
-view("resolved", f"""
-WITH l AS (SELECT *, {_role_of} AS r, {_alias_of} AS alias FROM (SELECT query_id, doc_id, lower(trim(term)) AS t FROM told WHERE intent = 'entity_lookup' AND term IS NOT NULL)),
+
+
+def d_resolved(terms: str) -> str:
+    """First hit of each term of ``terms(query_id, doc_id, t)``: role, entity, alias, display."""
+    return f"""
+WITH l AS (SELECT *, {_role_of} AS r, {_alias_of} AS alias FROM ({terms})),
 e AS (SELECT * FROM (SELECT *, {_order} AS o FROM entities) WHERE o IS NOT NULL)
-SELECT query_id, text, match_type FROM (
- SELECT query_id, 0 AS p, 0 AS o, '' AS s, 0 AS place, role AS k, name AS text, 'role' AS match_type FROM l JOIN party_names n ON n.doc_id = l.doc_id AND n.role IN (r, t)
- UNION ALL SELECT query_id, 1, o, source, start_char, text, text, CASE WHEN lower(text) = t THEN 'exact' ELSE 'partial' END FROM l JOIN e ON e.doc_id = l.doc_id WHERE {_near_term('text')}
- UNION ALL SELECT query_id, 2, o, source, start_char, text, text, 'alias' FROM l JOIN e ON e.doc_id = l.doc_id WHERE bucket = 'parties' AND contains(lower(text), alias)
- UNION ALL SELECT query_id, 3, o, source, start_char, text, display, 'simple' FROM l JOIN e ON e.doc_id = l.doc_id WHERE {_near_term('display')})
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p, o, s, place, k) = 1""", ["told", "entities", "party_names"])
+SELECT query_id, doc_id, text, category, match_type FROM (
+ SELECT query_id, l.doc_id, 'parties' AS category, 0 AS p, 0 AS o, '' AS s, 0 AS place, role AS k, name AS text, 'role' AS match_type FROM l JOIN party_names n ON n.doc_id = l.doc_id AND n.role IN (r, t)
+ UNION ALL SELECT query_id, l.doc_id, bucket, 1, o, source, start_char, text, text, CASE WHEN lower(text) = t THEN 'exact' ELSE 'partial' END FROM l JOIN e ON e.doc_id = l.doc_id WHERE {_near_term('text')}
+ UNION ALL SELECT query_id, l.doc_id, bucket, 2, o, source, start_char, text, text, 'alias' FROM l JOIN e ON e.doc_id = l.doc_id WHERE bucket = 'parties' AND contains(lower(text), alias)
+ UNION ALL SELECT query_id, l.doc_id, bucket, 3, o, source, start_char, text, display, 'simple' FROM l JOIN e ON e.doc_id = l.doc_id WHERE {_near_term('display')})
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p, o, s, place, k) = 1"""
+
+
+_TERM = "SELECT query_id, doc_id, lower(trim(term)) AS t FROM {} WHERE term IS NOT NULL"
+view("resolved", d_resolved(_TERM.format("told") + " AND intent = 'entity_lookup'"), ["told", "entities", "party_names"])
+view("resolved_terms", d_resolved(_TERM.format("terms")), ["terms", "entities", "party_names"])
+
+
+@query("resolve_entity_f7", with_views("resolved_terms", "SELECT query_id, doc_id, text, category, match_type FROM resolved_terms"))
+def resolve_entity(spark, d):
+    return _resolved(spark, d)
+
+
 _sure = ieee_round("least(CAST(0.98 AS DOUBLE), greatest(CAST(0.1 AS DOUBLE), a + least(CAST(0.15 AS DOUBLE), n * CAST(0.04 AS DOUBLE)) + CASE WHEN crit THEN CAST(0.05 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END))")
 
 
