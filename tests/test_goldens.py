@@ -603,3 +603,17 @@ def test_stream_dedup_forgets(spark, tmp_path):
     assert {n for n in got if n < 50 or n == 99} >= set(range(1, 50)) and len(got & {0, 99}) == 1
     assert got & set(range(100, 106)) == {101, 102, 103}
     assert held[0] == 50 and held[1] == 51 and held[2] < 5 and held[3] < 5
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tables_are_not_broadcast(spark):
+    """A written table of repeated wording is a small file and a large table."""
+    from briefloom.plans.placement import written
+    kept = written(spark.range(20_000).select(F.col("id").alias("k"), F.repeat(F.lit("the same words "), 100).alias("text")), "packed")
+    other = spark.range(10 ** 9).select(F.col("id").alias("k"))
+    plan = _plan(other.join(kept, "k"))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert "SortMergeJoin" in _plan(other.join(kept.groupBy("k").agg(F.max("text").alias("text")), "k", "left"))
