@@ -617,3 +617,11 @@ def test_written_tables_are_not_broadcast(spark):
     plan = _plan(other.join(kept, "k"))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert "SortMergeJoin" in _plan(other.join(kept.groupBy("k").agg(F.max("text").alias("text")), "k", "left"))
+
+
+def test_related_risks_broadcasts_no_copies(spark, tmp_path):
+    """Risks are copied once per part, so what a packed file of them says of their size is no ground for a broadcast."""
+    from briefloom.operators import retrieval as op
+    spark.range(1000).selectExpr("id AS doc_id", "1L AS seq", "'high' AS severity", "'a late fee of ten percent' AS clause_text").write.parquet(f"{tmp_path}/risks")
+    sources = spark.range(10 ** 9).selectExpr("id AS query_id", "id AS doc_id", "'a late fee of ten percent applies' AS text")
+    assert "BroadcastHashJoin" not in _plan(op.related_risks(sources, spark.read.parquet(f"{tmp_path}/risks")))
