@@ -625,3 +625,12 @@ def test_related_risks_broadcasts_no_copies(spark, tmp_path):
     spark.range(1000).selectExpr("id AS doc_id", "1L AS seq", "'high' AS severity", "'a late fee of ten percent' AS clause_text").write.parquet(f"{tmp_path}/risks")
     sources = spark.range(10 ** 9).selectExpr("id AS query_id", "id AS doc_id", "'a late fee of ten percent applies' AS text")
     assert "BroadcastHashJoin" not in _plan(op.related_risks(sources, spark.read.parquet(f"{tmp_path}/risks")))
+
+
+def test_short_rows_are_dealt_by_their_number(spark):
+    """Texts are made of short rows, so the parts follow the rows and not the bytes of the file."""
+    from briefloom.sources import samples
+    rows = spark.range(0, 1000, 1, 2)
+    assert samples.spread(rows, 50).rdd.getNumPartitions() == 20
+    assert samples.spread(rows, 50).distinct().count() == 1000
+    assert samples.spread(rows, 10 ** 6).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
