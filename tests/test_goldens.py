@@ -634,3 +634,10 @@ def test_short_rows_are_dealt_by_their_number(spark):
     assert samples.spread(rows, 50).rdd.getNumPartitions() == 20
     assert samples.spread(rows, 50).distinct().count() == 1000
     assert samples.spread(rows, 10 ** 6).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_rules_run_where_their_first_letters_are(spark):
+    df = spark.createDataFrame([(1, "Rent, rental and RENT"), (2, "no such word"), (3, "a fee or a fine")], "id int, text string")
+    ruled = labels.apply_rules(df, [("rent", r"\brent\b"), ("charge", r"\bfee|\bfine"), ("digits", r"\d")])
+    assert sorted((r["id"], r["rule"], r["n"]) for r in ruled.collect()) == [(1, "rent", 2), (3, "charge", 2)]
+    assert "contains(" in ruled._jdf.queryExecution().optimizedPlan().toString().lower()
