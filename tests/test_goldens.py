@@ -641,3 +641,11 @@ def test_rules_run_where_their_first_letters_are(spark):
     ruled = labels.apply_rules(df, [("rent", r"\brent\b"), ("charge", r"\bfee|\bfine"), ("digits", r"\d")])
     assert sorted((r["id"], r["rule"], r["n"]) for r in ruled.collect()) == [(1, "rent", 2), (3, "charge", 2)]
     assert "contains(" in ruled._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_clause_queries_make_only_their_own_columns(spark):
+    from briefloom import registry
+    registry.load_all()
+    for name, absent in (("clause_title_d10", "commencement|expiry"), ("clause_deadlines_e17", "lakh|crore"), ("clause_amounts_e16", "commencement|expiry"),
+                         ("legal_impact_d12", "lakh|crore")):
+        assert absent not in registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString(), name
