@@ -649,3 +649,22 @@ def test_clause_queries_make_only_their_own_columns(spark):
     for name, absent in (("clause_title_d10", "commencement|expiry"), ("clause_deadlines_e17", "lakh|crore"), ("clause_amounts_e16", "commencement|expiry"),
                          ("legal_impact_d12", "lakh|crore")):
         assert absent not in registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString(), name
+
+
+def test_entities_of_some_buckets_are_those_of_all(spark):
+    text = "The Lessor First Bank pays Rs. 1,50,000 as deposit within 30 days under Section 12 of Act, as held by Justice Ravi Kumar. Rs. 500 is a fee."
+    docs = spark.createDataFrame([(1, text), (2, "Nothing here"), (3, "Rs. 70 and Rs. 70")], "doc_id long, text string")
+    spots = [(1, "ORG", "First Bank"), (1, "MONEY", "Rs. 1,50,000"), (1, "MONEY", "Rs. 500"), (1, "PERSON", "Section 12 of Act")]
+    rows = [(i, label, m, text.index(m), text.index(m) + len(m)) for i, label, m in spots] + [(3, "MONEY", "Rs. 70", 0, 6), (3, "MONEY", "Rs. 70", 11, 17)]
+    found = spark.createDataFrame(rows, "doc_id long, label string, text string, start_char long, end_char long")
+    every = entities.all_entities(found, docs).collect()
+    for buckets in (["money"], ["judges", "legal_references"], ["parties"], ["durations", "money"]):
+        some = entities.all_entities(found, docs, buckets).collect()
+        assert sorted(map(str, some)) == sorted(str(e) for e in every if e["bucket"] in buckets) and some, buckets
+
+
+def test_entity_queries_look_for_their_own_buckets(spark):
+    from briefloom import registry
+    registry.load_all()
+    for name in ("pattern_spans_e1", "exclude_contained_e21", "amounts_by_type_g9"):
+        assert "Writ" not in registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString(), name
