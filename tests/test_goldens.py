@@ -707,3 +707,23 @@ def test_category_counts_need_no_wording(spark):
     rows = spark.createDataFrame([(1, "rent"), (1, "deposit"), (1, "obligation"), (2, "rent"), (2, "tribunal")], "doc_id long, clause_type string")
     got = {r["category"]: r["n"] for r in clauses.category_counts(clauses.group_keys(rows)).collect()}
     assert got == {"All": 3, "Finance": 2, "Protections": 1}
+
+
+def test_briefing_reads_its_clauses_once(spark):
+    docs = spark.createDataFrame([(i, "The tenant shall pay rent of Rs. 5,000 within 5 days and shall maintain the roof.\n\n"
+                                   "The parties shall meet at the office and must bring every paper.\n\nAll disputes go to the court.") for i in range(3)],
+                                 "doc_id long, text string")
+    ranked = briefing.ranked_clauses(docs).localCheckpoint()
+    got = clauses.briefing(ranked)
+    want = clauses.insight_groups(ranked).unionByName(clauses.supplement_groups(ranked))
+    assert got.columns == want.columns and got.count() > 3
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_phrases_share_their_first_words():
+    pattern = segmenting.any_phrase(fixed.TRIGGER_PHRASES)
+    plain = re.compile("(?i)(?:" + "|".join(fixed.TRIGGER_PHRASES) + ")")
+    text = "He SHALL  pay and shall be liable; shall bear, must not, must\npay, may terminate, agrees to, entitled to shall"
+    assert [m[0] for m in re.compile(pattern).finditer(text)] == [m[0] for m in plain.finditer(text)]
+    assert pattern.count("shall") == 1 and segmenting.any_phrase(["a|b"]) == "(?i)(?:a|b)"
