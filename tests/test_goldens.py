@@ -729,6 +729,16 @@ def test_phrases_share_their_first_words():
     assert pattern.count("shall") == 1 and segmenting.any_phrase(["a|b"]) == "(?i)(?:a|b)"
 
 
+@pytest.mark.parametrize("name", ["assign_roles_e5", "entity_confidence_e8", "dedup_entities_e9_i1",
+                                  "fallback_mentions_e20", "exclude_reviewed_e21"])
+def test_contracts_carry_their_mentions(spark, name):
+    # texts are made once and meet their mentions in the row: the only join is that of orders and customers
+    from briefloom import registry
+    registry.load_all()
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" not in plan and "Aggregate" not in plan and "hashpartitioning" not in plan
+
+
 def test_legal_phrases_in_one_long_run_of_words(spark):
     import time
     run = "a contract, " + "word " * 12_000
@@ -740,3 +750,24 @@ def test_legal_phrases_in_one_long_run_of_words(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert [(r["doc_id"], texts[r["doc_id"]][r["start_char"]:r["end_char"]]) for r in rows] == [
         (1, "a contract"), (1, "Section 3 of Sale"), (2, "The Sale Act of an act"), (2, "Act, 1872"), (2, "and Section 12 of Contract Act")]
+
+
+def test_texts_with_mentions_equal_the_joined_ones(spark):
+    t = "Mr. Rao, the Lessor, paid Rs. 500 as rent; the Sale Act, 1930 binds. Justice Ravi Kumar sat 5 days! The Buyer Asha paid Rs. 1,500 on 3/4/2024."
+    found = [("PERSON", "Mr. Rao"), ("MONEY", "Rs. 500"), ("LAW", "Sale Act"), ("PERSON", "Ravi Kumar"), ("ORG", "Asha"), ("DATE", "5 days"), ("ORG", "Sale Act")]
+    docs = spark.createDataFrame([(1, t), (2, "")], "doc_id long, text string")
+    ms = [(1, label, m, t.index(m), t.index(m) + len(m)) for label, m in found]
+    mentions = spark.createDataFrame(ms, "doc_id long, label string, text string, start_char long, end_char long")
+    packed = mentions.groupBy("doc_id").agg(F.collect_list(F.struct("label", "text", "start_char", "end_char")).alias("mentions"))
+    marked = docs.join(packed, "doc_id", "left").withColumn("mentions", F.coalesce("mentions", F.array()))
+    key = lambda df, cols: sorted(map(str, df.select(*cols).collect()))
+    cols = ["doc_id", "bucket", "text", "role", "money_type", "context", "confidence", "source"]
+    assert key(entities.marked_entities(marked), cols) == key(entities.all_entities(mentions, docs), cols)
+    assert key(entities.marked_model_entities(marked), cols) == key(entities.model_entities(mentions, docs), cols)
+    assert key(entities.pattern_entities(docs, spans=False), cols) == key(entities.pattern_entities(docs), cols)
+    kept = mention_review.filter_mentions(mentions)
+    assert key(mention_review.marked_fallback_mentions(marked, "text"), ["doc_id", "label", "text"]) == key(
+        mention_review.fallback_mentions(kept, docs), ["doc_id", "label", "text"])
+    others = mention_review.review_references(kept, docs).filter("bucket IN ('judges', 'legal_references')")
+    free = mention_review.exclude_contained(kept.filter("label IN ('PERSON', 'ORG')"), others)
+    assert key(mention_review.marked_exclude_reviewed(marked), ["doc_id", "text"]) == key(free, ["doc_id", "text"])
