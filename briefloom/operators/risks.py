@@ -20,7 +20,7 @@ def _unfenced(c: Column) -> Column:
 
 
 def _is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def parse_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -90,8 +90,11 @@ def risk_report(risks: DataFrame, caps=fixed.RISK_CAPS, points=fixed.RISK_POINTS
 
 
 def report_with_failures(reports: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Reports of all parsed documents: failed answers get the neutral report with a reason, empty ones a clean one."""
-    df = parsed.select("doc_id", "failure").join(reports, "doc_id", "left")
+    """Reports of all parsed documents: failed answers get the neutral report with a reason, empty ones a clean one.
+
+    The reports are not broadcast: Spark guesses their size from the files of the answers, far under that of a report a document.
+    """
+    df = parsed.select("doc_id", "failure").join(reports.hint("merge"), "doc_id", "left")
     failed = F.col("failure").isNotNull()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return df.select("doc_id", F.when(failed, "failed").otherwise("success").alias("status"), F.col("failure").alias("reason"),

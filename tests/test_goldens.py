@@ -340,6 +340,15 @@ def test_fenced_and_broken_answers(spark):
         ("success", 86, "Medium"), ("failed", 100, "Low"), ("failed", 100, "Low"), ("failed", 100, "Low"), ("success", 100, "Low")]
 
 
+def test_reports_are_not_broadcast(spark):
+    from briefloom import registry
+    registry.load_all()
+    reported = registry.QUERIES["failed_reports_j4"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in _plan(reported) and "SortMergeJoin" in _plan(reported)
+    payload = spark.createDataFrame([(1, '[{}, {"title": "A"}, null, 7, "x", [1]]')], "doc_id int, r string")
+    assert [(r["seq"], r["title"]) for r in risks.flatten_risk_payload(payload, "r").collect()] == [(0, None), (1, "A")]
+
+
 def test_report_caps_six_high_risks(spark):
     df = spark.createDataFrame([(1, i, "high") for i in range(6)] + [(2, 0, "low")], "doc_id int, seq int, severity string")
     rows = {r["doc_id"]: r for r in risks.risk_report(df).collect()}
