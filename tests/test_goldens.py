@@ -636,6 +636,24 @@ def test_related_risks_broadcasts_no_copies(spark, tmp_path):
     assert "BroadcastHashJoin" not in _plan(op.related_risks(sources, spark.read.parquet(f"{tmp_path}/risks")))
 
 
+def test_clause_queries_place_no_text(spark):
+    """Contracts are dealt by their number before they are texts; only columns that are asked for are made."""
+    from briefloom import registry
+    registry.load_all()
+    plan = _plan(registry.QUERIES["top_clauses_h2"](spark, "/root/testdata/sf0.001"))
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "financial_values" not in plan and "deadlines" not in plan
+    stored = _plan(registry.QUERIES["vector_rows_a14"](spark, "/root/testdata/sf0.001"))
+    assert "regexp_extract_all" not in stored and "orders.parquet" not in stored  # clauses are made once and written
+
+
+def test_patterns_that_start_at_a_letter_find_the_same(spark):
+    text = "Late fee; a fee, coffee fees\nFEE ﬁne fee2 \u0301fee é-fee éfee _fee fee"
+    for pattern in (r"\bfee\b", r"\bf\w+", r"\be?fee", "fee"):
+        same = [one(spark, lambda c: columns.find_all(F.lower(c), p), text) for p in (pattern, columns.letter_first(pattern))]
+        assert same[0] == same[1] != []
+    assert columns.letter_first(r"\bfee\b") != r"\bfee\b"
+
+
 def test_short_rows_are_dealt_by_their_number(spark):
     """Texts are made of short rows, so the parts follow the rows and not the bytes of the file."""
     from briefloom.sources import samples
