@@ -8,6 +8,7 @@ from ..functions import segmenting
 from ..operators import retrieval as ret
 from ..operators import summaries as sm
 from ..plans import briefing as plan
+from ..plans.placement import written
 from ..sources import samples
 from ..sources import tables as op
 from . import query
@@ -153,7 +154,8 @@ def delete_by_ids(spark, d):
 
 @query("vector_rows_a14", with_views("ranked", """SELECT doc_id || '_clause_' || (rank - 1) AS vec_id, doc_id, clause_type, responsible_party AS party, importance_label, round(len(paragraph) / 7.0, 3) AS first_value FROM ranked"""))
 def vector_rows(spark, d):
-    clauses = ranked(spark, d)
+    clauses = written(ranked(spark, d, ["responsible_party"]).select(
+        "doc_id", "rank", "clause_type", "responsible_party", "importance_label", "full_text"), "clauses")
     vectors = clauses.select("doc_id", (F.col("rank") - 1).alias("clause_no"), F.array(F.length("full_text") / 7.0).alias("embedding"))
     rows = ret.vector_rows(clauses, vectors)
     return rows.select("vec_id", "doc_id", "clause_type", "party", "importance_label", F.round(F.get("embedding", F.lit(0)), 3).alias("first_value"))
