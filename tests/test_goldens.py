@@ -593,6 +593,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(files) <= 4 and len(list((tmp_path / "out" / "staged").iterdir())) <= 2  # no history to scan
 
 
+def test_a_folder_of_many_rows_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "FILE_ROWS", 50)
+    out = str(tmp_path / "out")
+    for batch, name in enumerate(("old", "new")):
+        live.replace_documents(spark.range(batch * 300, 600).selectExpr("id AS doc_id", f"'{name}' AS text"), out, batch, buckets=2)
+    rows = live.latest_documents(spark, out).collect()
+    assert sorted(map(tuple, rows)) == [(i, "old" if i < 300 else "new") for i in range(600)]
+    assert len(list((tmp_path / "out" / "current").glob("bucket=*/*.parquet"))) > 2
+
+
 def test_stream_dedup_forgets(spark, tmp_path):
     src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "ts timestamp, signature string, n int"
     held = []
