@@ -74,10 +74,10 @@ def reduce_summaries(chunks: DataFrame, fan_in: int = 6, iterations: int = 20) -
     kept = kept.select("doc_id", (F.row_number().over(order) - 1).alias("i"), F.col("chunk_text").alias("t"))
     level, done, keep = kept, [], 3
     while True:
-        held = numbered(level)
-        made = graph_rank.summarize(held.select("uid", F.col("row.t").alias("text")), keep, iterations)
+        # the numbers stay, as the sentences are written before they are used
+        made = graph_rank.summarize(level.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "i", F.col("t").alias("text")), keep, iterations)
         path = f"{work_dir(spark)}/level"
-        held.join(made, "uid").select("row.doc_id", "row.i", F.col("summary").alias("t")).write.parquet(path)
+        made.select("doc_id", "i", F.col("summary").alias("t")).write.parquet(path)
         level = spark.read.parquet(path)
         level = level.withColumn("more", F.count("*").over(Window.partitionBy("doc_id")) > 1)
         done.append(level.where("NOT more").select("doc_id", F.col("t").alias("summary")))

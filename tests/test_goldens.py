@@ -501,6 +501,23 @@ def test_graph_ranking_against_every_pair(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_small_texts_are_ranked_like_large_ones(spark, monkeypatch):
+    rnd = random.Random(4)
+    texts = [" ".join(" ".join(f"W{min(rnd.randint(0, 30), rnd.randint(0, 30))}" for _ in range(rnd.randint(1, 9))) + "." for _ in range(rnd.randint(0, 40))) for _ in range(40)]
+    texts += [None, "", "...", "Same. Same. Same. Same. Same.", "A b. B c. C d. Q. É é b. ! ? ."]
+    df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    small = graph_rank.summarize(df, 3)
+    assert "MapInArrow" in _plan(small)
+    small = {r["uid"]: r["summary"] for r in small.collect()}
+    monkeypatch.setattr(graph_rank, "SMALL_SENTENCES", 0)
+    assert small == {r["uid"]: r["summary"] for r in graph_rank.summarize(df, 3).collect()} and len(small) == len(texts)
+    cut = [re.split(r"(?<=[.!?])\s+", t) for t in texts[:40]]
+    for uid, xs in enumerate(cut):
+        score = ranked_pair_by_pair(xs) if texts[uid] else [1]
+        best = sorted(sorted(range(len(xs)), key=lambda i: (-round(score[i], 12), i))[:3])
+        assert small[uid] == (" ".join(xs[i] for i in best) if len(xs) > 3 else texts[uid])
+
+
 def test_graph_summary_keeps_every_row(spark):
     text = "A b c. B c d. C d e. X y. D e f. Q. A b c d e f."
     df = spark.createDataFrame([(1, text, "u"), (1, text, "u"), (None, text, "v"), (2, None, None), (3, " ", None), (4, "One. Two.", None)], "doc_id int, text string, uid string")
