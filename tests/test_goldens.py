@@ -681,6 +681,59 @@ def test_patterns_that_start_at_a_letter_find_the_same(spark):
     assert columns.letter_first(r"\bfee\b") != r"\bfee\b"
 
 
+@pytest.mark.parametrize("name", ["analysis_record_a16", "atomic_briefing_c5_g2", "known_parties_d9_e12", "entity_groups_e11", "entity_counts_g10",
+                                  "purpose_relations_e14", "confidence_bands_d20"])
+def test_work_on_a_contract_stays_in_its_row(spark, name):
+    from briefloom import registry
+    registry.load_all()
+    plan = _plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    # orders and customers meet, then the orders are dealt; only the bands are counted over all documents
+    assert plan.count("orders.parquet") == 1 and plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") == (2 if name == "confidence_bands_d20" else 1)
+
+
+def test_parties_that_are_overridden_are_not_broadcast(spark):
+    from briefloom import registry
+    registry.load_all()
+    plan = _plan(registry.QUERIES["override_parties_e18"](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" in plan and "judge" not in plan
+
+
+def test_entities_made_in_the_row_equal_those_of_frames(spark):
+    from briefloom.sources import samples
+    sf = "/root/testdata/sf0.001"
+    marked = samples.marked_text(spark, sf)
+    docs = marked.select("doc_id", "text").where("doc_id < 200")
+    mentions = marked.where("doc_id < 200").select("doc_id", F.inline("mentions"))
+    marked = marked.where("doc_id < 200")
+    key = lambda df: sorted(map(str, df.collect()))
+    every = entities.marked_entities(marked)
+    assert key(entities.marked_entity_groups(marked)) == key(entities.entity_groups(every))
+    plain = entities.bucket_mentions(mentions)
+    for buckets in (None, ["parties", "judges"], ["dates"]):
+        rich = every if buckets is None else every.filter(F.col("bucket").isin(buckets))
+        assert key(entities.marked_entity_counts(marked, buckets)) == key(entities.entity_counts(rich, plain))
+    for kinds in (["purpose"], ["risk", "obligation"]):
+        assert key(entities.marked_relations(marked, kinds)) == key(entities.all_relations(mentions, docs).where(F.col("type").isin(kinds)))
+    held = entities.entities_in_row(marked).select("doc_id", entities.parties_in(F.col("_es")).alias("parties")).where(F.size("parties") > 0)
+    assert key(held) == key(entities.parties_column(entities.parties_map(every))) and held.count() > 10
+
+
+def test_analysis_in_one_row_equals_that_of_tables(spark):
+    rows = [(1, "One two.\n\nThree four five."), (2, "x"), (3, "-")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    es = spark.createDataFrame([(1, "money", 5, "b", 0.9, None), (1, "dates", None, "a", 0.8, None), (2, "parties", 0, "x", 0.95, "Lessor")],
+                               "doc_id long, bucket string, start_char long, text string, confidence double, role string")
+    chunks = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "doc_id long, chunk_text string")
+    want = tables.assemble_analysis(docs, summaries.extractive_summary(docs).drop("text"), es, chunks)
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    held = summaries.extractive_summary(docs).withColumnRenamed("text", "cleaned_text")
+    held = held.join(es.groupBy("doc_id").agg(F.collect_list(F.struct(*es.columns[1:])).alias("entities")), "doc_id", "left")
+    held = held.join(chunks.groupBy("doc_id").agg(F.collect_list("chunk_text").alias("chunks")), "doc_id", "left")
+    held = held.withColumns({"entities": none("entities", held.schema["entities"].dataType), "chunks": none("chunks", "array<string>")})
+    got = tables.analysis_in_row(held)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_short_rows_are_dealt_by_their_number(spark):
     """Texts are made of short rows, so the parts follow the rows and not the bytes of the file."""
     from briefloom.sources import samples
